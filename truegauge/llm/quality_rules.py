@@ -122,8 +122,8 @@ _COUNT = "(length(t) - length(regexp_replace(t, '{}', '', 'g')))"
 
 OP2_SQL = rf"""
 WITH a AS (
-  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),  lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
 ), win AS (
   SELECT doc_id, r.i AS i, w[r.i:r.i + {WINDOW - 1}] AS g FROM a, unnest(range(1, len(w) - {WINDOW - 2})) AS r(i) WHERE len(w) >= {WINDOW}
 ), twice AS (
@@ -135,7 +135,7 @@ WITH a AS (
 ), base AS (
   SELECT a.doc_id, len(w)::BIGINT AS n_words, (length(t) - {_COUNT.format(r'[\x20\x09-\x0D]')})::BIGINT AS word_chars, {_COUNT.format('[#*$%&|<>]')}::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
-         {_COUNT.format('[!?]')} AS n_marks, len(list_filter(w, x -> x IN ({_STOP}))) AS n_stop_words
+         {_COUNT.format('[!?]')} AS n_marks, len(list_filter(w, lambda x: x IN ({_STOP}))) AS n_stop_words
   FROM a LEFT JOIN rep ON a.doc_id = rep.doc_id
 ), failed AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
