@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, packing, quality_rules, sharding
+from . import chat, embedding_dedup, line_dedup, packing, quality_rules, sharding
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op5_chat": chat.OP5_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
