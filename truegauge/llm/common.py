@@ -48,6 +48,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows in an Arrow batch of texts: at Spark's usual 10,000, a few long texts more fill an executor.
+BATCH_ROWS = 512
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches hold BATCH_ROWS rows at most from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def row_ids(df: DataFrame, *order: Column | str) -> DataFrame:
     """df dealt by range of `order`, sorted, with part and at: its partition and its place there. Store it before two reads."""
     out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
@@ -75,7 +87,7 @@ def with_columns(df: DataFrame, rest: list[str], new: str, fn: Callable[[pa.Reco
             made = [pa.array(x, k) for x, k in zip(fn(b), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + made, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return short_batches(df).mapInArrow(run, schema)
 
 
 def free_of(df: DataFrame, *names: str) -> list[str]:

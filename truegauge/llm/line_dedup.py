@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, free_of, mix64, stored, with_columns
+from .common import SPACE, documents, free_of, mix64, short_batches, stored, with_columns
 
 MIN_CHARS = 10
 SLOTS = 4
@@ -135,7 +135,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             half = np.frombuffer(b"".join(k for _, k in found), dtype="<i8").reshape(-1, 2)
             yield pd.DataFrame({"doc_id": np.array([d for d, _ in found], dtype=np.int64), "k1": half[:, 0], "k2": half[:, 1]})
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInPandas(keys, POSTING)
+    return short_batches(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")).mapInPandas(keys, POSTING)
 
 
 @dataclass

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, short_batches, stored
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -80,7 +80,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "nth"])
             yield out.assign(doc_id=out.doc_id.astype("Int64"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return short_batches(texts).mapInPandas(cut, PIECES)
 
 
 class Slots(NamedTuple):
