@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_dedup, line_dedup, packing, quality_rules, sharding
+from . import chat, embedding_dedup, line_dedup, ngram_join, packing, quality_rules, sharding
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_packing": packing.op4_packing,
     "op5_chat": chat.op5_chat,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
