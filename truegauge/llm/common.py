@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,3 +95,31 @@ def free_of(df: DataFrame, *names: str) -> list[str]:
     """The columns of df whose names don't clash with `names`, in any case."""
     taken = {n.lower() for n in names}
     return [c for c in df.columns if c.lower() not in taken]
+
+
+#: Bits of a filter of document ids: 4 MB, which may go to all executors. Fuller filters let more ids pass, but lose none.
+ID_BITS = 1 << 25
+ID_PAGE = 1 << 15
+
+
+def id_slot() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the slots of ids (doc_id), made in pages; ID_BITS bits reach the driver, whatever the input."""
+
+    def mark(g: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(ID_PAGE, dtype=np.uint8)
+        bits[g.slot.to_numpy() % ID_PAGE] = 1
+        return pd.DataFrame({"page": [g.slot.iloc[0] // ID_PAGE], "bits": [np.packbits(bits).tobytes()]})
+
+    slots = ids.where("doc_id IS NOT NULL").select(id_slot().alias("slot")).distinct()
+    out = np.zeros((ID_BITS // ID_PAGE, ID_PAGE // 8), dtype=np.uint8)
+    for r in slots.groupBy(F.expr(f"slot div {ID_PAGE}")).applyInPandas(mark, "page long, bits binary").collect():
+        out[r.page] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def has_bit(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, documents, free_of, mix64, short_batches, stored
+from .common import discard, documents, free_of, has_bit, id_bits, id_slot, mix64, short_batches, stored
 from .components import components
 from .tiles import roots, tiled
 
@@ -40,8 +40,6 @@ SLICES = 64
 LONG_LIST = 16
 #: Sets of a region in a block of its tiles.
 BLOCK = 1024
-#: Bits of the filter of wanted documents, which goes to all executors.
-WANTED_BITS = 1 << 25
 #: Words of 64 bits in the parity bitmap of a set.
 PARITY = 8
 
@@ -179,31 +177,17 @@ def index_entries(docs: DataFrame, sketch: np.ndarray, words: int, percent: int)
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(s1, n, shingles, parity) of the documents of wanted (doc_id), which a bounded filter picks out before the exact join."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(WANTED_BITS))
-    page = 1 << 15
-
-    def mark(g: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(page, dtype=np.uint8)
-        bits[g.slot.to_numpy() % page] = 1
-        return pd.DataFrame({"page": [g.slot.iloc[0] // page], "bits": [np.packbits(bits).tobytes()]})
-
-    pages = wanted.select(slot.alias("slot")).distinct().groupBy(F.expr(f"slot div {page}")).applyInPandas(mark, "page long, bits binary")
-    bits = np.zeros((WANTED_BITS // page, page // 8), dtype=np.uint8)
-    for r in pages.collect():  # WANTED_BITS bits at most
-        bits[r.page] = np.frombuffer(r.bits, dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+    sent = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column("slot").to_numpy()
-            hit = np.flatnonzero(sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            b = b.take(pa.array(hit))
+            b = b.take(pa.array(np.flatnonzero(has_bit(sent.value, b.column("slot").to_numpy()))))
             sets = [shingles(t or "", words) for t in b.column("text").to_pylist()]
             cols = [b.column("doc_id"), pa.array([identity(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             cols += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "s1", "n", "shingles", "parity"])
 
-    found = docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, "doc_id long, s1 long, n long, shingles binary, parity binary")
+    found = docs.where("doc_id IS NOT NULL").withColumn("slot", id_slot()).mapInArrow(run, "doc_id long, s1 long, n long, shingles binary, parity binary")
     # rows of one doc_id may differ in text, hence both keys
     return found.join(wanted, ["doc_id", "s1"], "left_semi").drop("doc_id").dropDuplicates(["s1"])
 
