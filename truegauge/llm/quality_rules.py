@@ -53,7 +53,7 @@ def base_columns(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     twice or more (windows of a power of two words), told apart by 64-bit hashes sorted with their places: a text of n words costs n log n."""
     rest = free_of(docs, "text", *BASE, "n_lines", "n_marks", "n_stop_words", "failed_rules")
     text = F.coalesce("text", F.lit(""))
-    one = docs.select(*rest, "text", F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(SPACE)) != "").alias("_lines"), text.alias("_text"))
+    one = docs.select(*rest, "text", F.array_remove(F.split(text, f"[{SPACE}]+"), "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_lines"), text.alias("_text"))
     two = one.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     # the hash of a window of 2 k words is that of its halves' hashes; near the end halves are missing, which is cut off below
     width = 1
@@ -72,7 +72,8 @@ def base_columns(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return five.select(
         *rest,
         "text",
-        F.size("_words").cast("long").alias("n_words"),
+        # a part that Spark can't move keeps it from copying these expressions into filters, where they would be computed over and over
+        (F.size("_words") + F.least(F.spark_partition_id(), F.lit(0))).cast("long").alias("n_words"),
         (F.length(text) - n_of(text, SPACE)).cast("long").alias("word_chars"),
         n_of(text, "#*$%&|<>").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
