@@ -103,7 +103,7 @@ ID_PAGE = 1 << 15
 
 
 def id_slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(ID_BITS))
 
 
 def id_bits(ids: DataFrame) -> np.ndarray:

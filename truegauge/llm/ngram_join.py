@@ -1,11 +1,12 @@
 """N-gram Jaccard join by set-relation skipping.
 
-A document is the set of its word shingles, held as 64-bit hashes. Sets of Jaccard similarity t or more share one
-of the first n - ceil(t n) + 1 of their shingles in any common order; the order here is by how often a sketch of
-all documents has counted a shingle, rarest first. The shingles there with two or more sets are index lists.
+A document is the set of its word shingles, held as 64-bit hashes. Sets of Jaccard similarity t or more share l of
+the first n - ceil(t n) + l of their shingles in any common order; the order here is by how often a sketch of all
+documents has counted a shingle, rarest first. The shingles there with two or more sets are index lists.
 
 * Equal sets are one set: their answers are the same.
-* Short lists give pairs, after the bounds on size and position; those pass a parity-bitmap bound, then are counted.
+* Short lists give pairs, after the bounds on size and position; a pair that doesn't meet l times there, and doesn't
+  meet in a long list, can't link. The others pass a parity-bitmap bound, then are counted.
 * The sets of long lists that share sets form regions, compared tile by tile. In a tile, index lists are cut into
   blocks by position, skipped whole where no entry can reach the threshold; and where a set differs little from one
   whose overlaps with all others are known, its own follow from these by the shingles that differ.
@@ -38,6 +39,8 @@ SKETCH = 1 << 20
 SLICES = 64
 #: Lists of more sets than this are compared in regions, not as pairs.
 LONG_LIST = 16
+#: How often (l) two sets of enough shingles must meet in the index lists.
+MEETINGS = 8
 #: Sets of a region in a block of its tiles.
 BLOCK = 1024
 #: Words of 64 bits in the parity bitmap of a set.
@@ -85,8 +88,9 @@ def need(n, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+def prefix_length(n: int, percent: int = PERCENT, meetings: int = 1) -> int:
+    least = -(-percent * n // 100)
+    return n - least + min(meetings, least)
 
 
 def parity(s: np.ndarray) -> np.ndarray:
@@ -141,7 +145,7 @@ def read_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def first_shingles(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
     """The prefix of a set in the common order: by the sketch's count, then by hash."""
-    p = prefix_length(len(s), percent)
+    p = prefix_length(len(s), percent, MEETINGS)
     often = sketch[s % np.uint64(SKETCH)]
     if p < len(s):
         few = often <= np.partition(often, p - 1)[p - 1]
@@ -192,12 +196,18 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return found.join(wanted, ["doc_id", "s1"], "left_semi").drop("doc_id").dropDuplicates(["s1"])
 
 
-def short_list_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): linked sets that meet in a short list."""
+def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets that meet often enough in short lists."""
     a, b = entries.alias("a"), entries.alias("b")
-    least = f"-(-{percent} * (a.n + b.n) div {100 + percent})"
-    bounds = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND 1 + least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos) - 1 >= {least}"
-    pairs = a.join(b, F.expr(f"a.token = b.token AND a.s1 < b.s1 AND {bounds}")).select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b")).distinct()
+    least = f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"
+    bounds = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos) >= {least}"
+    met = a.join(b, F.expr(f"a.token = b.token AND a.s1 < b.s1 AND {bounds}")).groupBy(F.col("a.s1").alias("a"), F.col("b.s1").alias("b"))
+    counted = met.agg(F.count(F.lit(1)).alias("times"), F.min(F.least("a.n", "b.n")).alias("n"))
+    return counted.where(f"times >= least({MEETINGS}, ({percent} * n + 99) div 100)").select("a", "b")
+
+
+def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
     side = lambda name, *cols: sets.select(F.col("s1").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,11 +349,15 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     entries = index_entries(texts, sketch, words, percent).withColumn("_lo", F.min("s1").over(w)).withColumn("_hi", F.max("s1").over(w)).where("_lo < _hi")
     entries = entries.groupBy("token", "s1").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("doc_id").alias("doc_id"))
     entries = stored(entries.withColumn("sets", F.count(F.lit(1)).over(w)), "index")
-    wanted = entries.groupBy("s1").agg(F.min("doc_id").alias("doc_id"))
-    sets = stored(wanted_sets(texts, wanted, words), "candidates")
-    links = short_list_links(entries.where(F.col("sets") <= LONG_LIST), sets, percent).union(long_list_links(entries.where(F.col("sets") > LONG_LIST), sets, percent))
-    parts = stored(components(stored(links, "links")), "parts")
-    discard(entries, sets)
+    pairs = stored(short_list_pairs(entries.where(F.col("sets") <= LONG_LIST), percent), "pairs")
+    long = stored(entries.where(F.col("sets") > LONG_LIST).select("token", "s1"), "long")
+    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("s1"))
+    wanted = entries.groupBy("s1").agg(F.min("doc_id").alias("doc_id")).join(of_pairs.union(long.select("s1")).distinct(), "s1", "left_semi")
+    sets = stored(wanted_sets(texts, stored(wanted, "wanted"), words), "candidates")
+    discard(entries)
+    links = stored(links_of(pairs, sets, percent).union(long_list_links(long, sets, percent)), "links")
+    parts = stored(components(links), "parts")
+    discard(sets)
     # the class of a set is named by its identity; a link joins classes by s1
     classes = ids.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     named = classes.join(parts.select(F.col("node").alias("s1"), F.col("component").alias("linked")), "s1", "left")
