@@ -13,8 +13,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,17 +63,17 @@ def grams(text: str) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) over the texts; a row for each gram and task."""
+    """(gram, n) over packed texts; a row for each gram and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(GRAMS, dtype=np.int64)
+        count, unpack = np.zeros(GRAMS, dtype=np.int64), zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for text in b.column("text").to_pylist():
-                np.add.at(count, grams(text), 1)
+            for packed in b.column("packed").to_pylist():
+                np.add.at(count, grams(unpack(packed).decode()), 1)
         found = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(count[found])], names=["gram", "n"])
 
-    return short_batches(texts.select("text").where("text IS NOT NULL")).mapInArrow(run, "gram long, n long")
+    return short_batches(texts.select("packed")).mapInArrow(run, "gram long, n long")
 
 
 def grams_seen(texts: DataFrame) -> DataFrame:
@@ -115,14 +115,17 @@ def probabilities(counts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) whose doc_id is in ids; a bounded filter thins them before the exact join."""
+    """(doc_id, packed): the compressed texts of the doc_ids in ids; a bounded filter thins them before the exact join."""
     sent = docs.sparkSession.sparkContext.broadcast(id_bits(ids))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            yield b.filter(pa.array(has_bit(sent.value, b.column("slot").to_numpy()))).select(["doc_id", "text"])
+            b = b.filter(pa.array(has_bit(sent.value, b.column("slot").to_numpy())))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([pack(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "packed"])
 
-    some = short_batches(docs.select("doc_id", "text").where("doc_id IS NOT NULL").withColumn("slot", id_slot())).mapInArrow(thin, docs.select("doc_id", "text").schema)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    some = short_batches(texts.withColumn("slot", id_slot())).mapInArrow(thin, "doc_id long, packed binary")
     return some.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
