@@ -44,7 +44,7 @@ def _sizes(df: DataFrame, y, w, by: list[str]) -> DataFrame:
 
 
 def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, models=None) -> DataFrame:
-    """(by, g, grid, n, n_unlabeled, cdf, se, imputed, rectifier): the rectified distribution function at grid points, g counting from 0.
+    """(by, grid, n, n_unlabeled, cdf, se, imputed, rectifier): the rectified distribution function at grid points.
 
     The grid is GRID points from the least to the greatest value, or with exact_grid all the values. models: an array
     column of predictions on unlabelled rows, instead of yhat there.
@@ -54,7 +54,6 @@ def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, model
     if exact_grid:
         steps = events.groupBy(*by, F.col("v").alias("grid")).agg(*[F.sum(c).alias(c) for c in SUMS])
         steps = running(steps, "grid", list(SUMS), by)
-        steps = steps.withColumn("g", F.monotonically_increasing_id())
     else:
         ends = events.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
         step = (F.col("_hi") - F.col("_lo")) / (GRID - 1)
@@ -63,12 +62,12 @@ def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, model
         fixed = F.when((guess > 0) & (F.col("v") <= point(guess - 1)), guess - 1).when(F.col("v") > point(guess), guess + 1).otherwise(guess)
         same = [F.col(f"_{b}").eqNullSafe(F.col(b)) for b in by]
         ends_of = ends.select(*[F.col(b).alias(f"_{b}") for b in by], "_lo", "_hi")
-        binned = (events.join(ends_of, same) if by else events.crossJoin(F.broadcast(ends_of))).withColumn("g", fixed)
-        sums = binned.groupBy(*by, "g").agg(*[F.sum(c).alias(c) for c in SUMS])
-        grid = ends.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("grid", point(F.col("g"))).drop("_lo", "_hi")
-        on = [F.col("s.g") == F.col("r.g"), *[F.col(f"s.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]]
-        upto = W.partitionBy(*[f"r.{b}" for b in by]).orderBy("r.g")  # GRID rows for each group
-        steps = grid.alias("r").join(sums.alias("s"), on, "left").select(*[f"r.{b}" for b in by], "r.g", "r.grid", *[F.coalesce(F.sum(f"s.{c}").over(upto), F.lit(0.0)).alias(c) for c in SUMS])
+        binned = (events.join(ends_of, same) if by else events.crossJoin(F.broadcast(ends_of))).withColumn("_bin", fixed)
+        sums = binned.groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in SUMS])
+        grid = ends.withColumn("_bin", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1)))).withColumn("grid", point(F.col("_bin"))).drop("_lo", "_hi")
+        on = [F.col("s._bin") == F.col("r._bin"), *[F.col(f"s.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]]
+        upto = W.partitionBy(*[f"r.{b}" for b in by]).orderBy("r._bin")  # GRID rows for each group
+        steps = grid.alias("r").join(sums.alias("s"), on, "left").select(*[f"r.{b}" for b in by], "r._bin", "r.grid", *[F.coalesce(F.sum(f"s.{c}").over(upto), F.lit(0.0)).alias(c) for c in SUMS])
     sizes = _sizes(df, y, w, by)
     both = steps.join(sizes.select(*[F.col(b).alias(f"_{b}") for b in by], "n", "n_unlabeled", "w_l", "w_u"), [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]) if by else steps.crossJoin(F.broadcast(sizes))
     n, big = F.col("n").cast("double"), F.col("n_unlabeled").cast("double")
@@ -76,7 +75,7 @@ def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, model
     rectifier = (F.col("y") - F.col("f")) / F.col("w_l")
     square = n / (F.col("w_l") * F.col("w_l")) * (F.col("y2") + F.col("f2") - 2 * F.col("m2"))
     spread = F.greatest(square - rectifier * rectifier, F.lit(0.0)) / n + F.greatest(F.col("p2") * big / (F.col("w_u") * F.col("w_u")) - means * means, F.lit(0.0)) / big
-    return both.select(*by, "g", "grid", "n", "n_unlabeled", (imputed + rectifier).alias("cdf"), F.greatest(F.sqrt(spread), F.lit(1e-16)).alias("se"), imputed.alias("imputed"), rectifier.alias("rectifier"))
+    return both.select(*by, "grid", "n", "n_unlabeled", (imputed + rectifier).alias("cdf"), F.greatest(F.sqrt(spread), F.lit(1e-16)).alias("se"), imputed.alias("imputed"), rectifier.alias("rectifier"))
 
 
 def quantile_estimate(df: DataFrame, y, yhat, q: float, by=(), exact_grid=False, w=None, models=None) -> DataFrame:
