@@ -62,9 +62,9 @@ def short_batches(df: DataFrame) -> DataFrame:
 
 
 def row_ids(df: DataFrame, *order: Column | str) -> DataFrame:
-    """df dealt by range of `order`, sorted, with part and at: its partition and its place there. Store it before two reads."""
+    """df dealt by range of `order`, sorted, with _part and _at: its partition and its place there. Store it before two reads."""
     out = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mid", F.monotonically_increasing_id())
-    return out.withColumn("part", F.shiftright("_mid", 33)).withColumn("at", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid")
+    return out.withColumn("_part", F.shiftright("_mid", 33)).withColumn("_at", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -35,7 +35,10 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def links(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of unit vectors with a product of threshold or more; right None: of left with itself, each pair once."""
-    a, other = quantise(left), left if right is None else right
+    other = left if right is None else right
+    if not len(left) or not len(other):
+        return np.zeros(0, int), np.zeros(0, int)
+    a = quantise(left)
     b = a if right is None else quantise(right)
     found = []
     for at in range(0, len(left), STRIP):
@@ -50,7 +53,7 @@ def links(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple
             i, j = i[i + at < j], j[i + at < j]
         near = np.concatenate([np.einsum("ij,ij->i", left[at + i[k : k + 100_000]], other[j[k : k + 100_000]]) >= threshold for k in range(0, len(i), 100_000)] or [np.zeros(0, dtype=bool)])
         found.append((at + i[near], j[near]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -64,7 +67,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     kind = "f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "f8"
     e = F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>")
     whole = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rest = free_of(vectors, "embedding", "n_links", "component_id", "kept", "_k", "_l", "_e")
+    rest = free_of(vectors, "embedding", "n_links", "component_id", "kept", "_k", "_l", "_e", "_same", "_links", "_component")
     told = vectors.select(*rest, F.when(F.coalesce(whole, F.lit(False)) & F.col("vec_id").isNotNull(), e).alias("_e"))
     told = told.withColumn("_k", F.when(F.col("_e").isNotNull(), F.xxhash64("_e"))).withColumn("_l", F.when(F.col("_e").isNotNull(), F.xxhash64(F.lit(1), "_e")))
     classes = told.where("_e IS NOT NULL").groupBy("_k", "_l").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("_e").alias("e"))
@@ -91,11 +94,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     found = stored(found, "links")
     copies = told.where("_e IS NOT NULL").select("vec_id", "_k", "_l").join(classes.where("n > 1").select("_k", "_l", "rep"), ["_k", "_l"])
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(copies.select("vec_id", "rep")))
-    sums = classes.select("_k", "_l", (F.col("n") - 1).alias("same")).join(found.groupBy("_k", "_l").agg(F.sum("links").alias("links")), ["_k", "_l"], "left")
-    sums = sums.where("same > 0 OR links > 0")
-    out = told.join(sums, ["_k", "_l"], "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", F.col("vec_id").cast("long"))
-    return out.select(*rest, (F.coalesce("same", F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    sums = classes.select("_k", "_l", (F.col("n") - 1).alias("_same")).join(found.groupBy("_k", "_l").agg(F.sum("links").alias("_links")), ["_k", "_l"], "left")
+    sums = sums.where("_same > 0 OR _links > 0")
+    out = told.join(sums, ["_k", "_l"], "left").join(parts.select(F.col("node").alias("vec_id"), F.col("component").alias("_component")), "vec_id", "left")
+    component = F.coalesce("_component", F.col("vec_id").cast("long"))
+    return out.select(*rest, (F.coalesce("_same", F.lit(0)) + F.coalesce("_links", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

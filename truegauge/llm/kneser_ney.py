@@ -66,12 +66,12 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     """(gram, n) over packed texts; a row for each gram and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, unpack = np.zeros(GRAMS, dtype=np.int64), zstandard.ZstdDecompressor().decompress
+        count, unpack = np.zeros(GRAMS, dtype=np.uint32), zstandard.ZstdDecompressor().decompress
         for b in batches:
             for packed in b.column("packed").to_pylist():
                 np.add.at(count, grams(unpack(packed).decode()), 1)
         found = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(count[found])], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(count[found].astype(np.int64))], names=["gram", "n"])
 
     return short_batches(texts.select("packed")).mapInArrow(run, "gram long, n long")
 

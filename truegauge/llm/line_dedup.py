@@ -210,7 +210,7 @@ class LineState:
         return self.postings.withColumn("shard", shard_of(self.n_shards)).mapInPandas(probe, POSTING)
 
     def dropped(self) -> DataFrame:
-        """(doc_id, drops): the keys whose lines a document loses to a smaller id."""
+        """(doc_id, _drops): the keys whose lines a document loses to a smaller id."""
         shared = self.refs.where("refs > 1").select("k1", "k2", "refs", "first_doc")
         least = self.postings.count() // HOT_SHARE
         hot = shared.where(F.col("refs") > least).select("k1", "k2", "first_doc")  # fewer than HOT_SHARE rows
@@ -218,16 +218,16 @@ class LineState:
         found = maybe.join(F.broadcast(hot.withColumnRenamed("first_doc", "hot_doc")), ["k1", "k2"], "left")
         cold = found.where("hot_doc IS NULL").join(shared.where(F.col("refs") <= least).drop("refs"), ["k1", "k2"]).where("doc_id > first_doc")
         lost = found.where("doc_id > hot_doc").select("doc_id", "k1", "k2").union(cold.select("doc_id", "k1", "k2"))
-        return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drops"))
+        return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_drops"))
 
     def kept(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         """docs with kept (the text without the dropped lines, '' for null), n_lines and n_dropped instead of text; all rows stay."""
-        rest = free_of(docs, "text", "kept", "n_lines", "n_dropped", "drops")
+        rest = free_of(docs, "text", "kept", "n_lines", "n_dropped", "_drops")
         both = docs.select(*rest, F.coalesce("text", F.lit("")).alias("text")).join(self.dropped(), "doc_id", "left")
 
         def rebuild(batch: pa.RecordBatch) -> list:
             out = []
-            for text, drops in zip(batch.column("text").to_pylist(), batch.column("drops").to_pylist(), strict=True):
+            for text, drops in zip(batch.column("text").to_pylist(), batch.column("_drops").to_pylist(), strict=True):
                 lines = text.split("\n")
                 gone = {np.array([d["k1"], d["k2"]], dtype="<i8").tobytes() for d in drops or ()}
                 stay = [x for x in lines if line_key(x, min_chars) not in gone] if gone else lines

@@ -48,10 +48,10 @@ PARITY = 8
 
 
 class _WordHashes(dict):
-    """Hashes of words, remembered; forgets all when it has a million."""
+    """Hashes of words, remembered; forgets all when it is full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -167,7 +167,7 @@ def index_entries(docs: DataFrame, sketch: np.ndarray, words: int, percent: int)
                 key = identity(s)
                 if not len(s) or doc is None or key in had:
                     continue
-                if len(had) >= 1 << 20:
+                if len(had) >= 1 << 17:
                     had.clear()
                 had.add(key)
                 tokens.append(first_shingles(s, sent.value, percent))

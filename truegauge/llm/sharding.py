@@ -17,10 +17,10 @@ SEED = 20240607
 
 
 def starts(table: DataFrame, *by: str) -> DataFrame:
-    """For each part (and group of `by`) of a table of row_ids(): lo, its first place, and before, the rows of the group in earlier parts."""
-    n = table.groupBy("part", *by).agg(F.min("at").alias("lo"), F.count(F.lit(1)).alias("rows"))
-    w = W.partitionBy(*by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    return n.withColumn("before", F.coalesce(F.sum("rows").over(w), F.lit(0)))
+    """For each part (and group of `by`) of a table of row_ids(): _lo, its first place, and _before, the rows of the group in earlier parts."""
+    n = table.groupBy("_part", *by).agg(F.min("_at").alias("_lo"), F.count(F.lit(1)).alias("_rows"))
+    w = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    return n.withColumn("_before", F.coalesce(F.sum("_rows").over(w), F.lit(0)))
 
 
 def interleave(docs: DataFrame, n_shards: int = 40, seed: int = SEED) -> DataFrame:
@@ -30,22 +30,22 @@ def interleave(docs: DataFrame, n_shards: int = 40, seed: int = SEED) -> DataFra
     null source are a source of their own. Any row counts, also a repeated one; ties of the shuffle go by doc_id
     and checksum, and between equal rows by place of reading. Columns of docs that clash with the new names are left out.
     """
-    rest = free_of(docs, "text", "size", "text_crc32", "shard", "slot", "_h", "_tie", "_mid", "part", "at", "_frac", "lo", "rows", "before")
+    rest = free_of(docs, "text", "size", "text_crc32", "shard", "slot", "_h", "_tie", "_mid", "_part", "_at", "_frac", "_place")
     rows = docs.select(*rest, (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"))
     rows = rows.withColumn("_tie", F.monotonically_increasing_id()).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     order = ["_h", F.col("doc_id"), "text_crc32", "_tie"]
     ranked = stored(row_ids(rows, "source", *order), "ranked")
     begin = starts(ranked, "source")
-    total = begin.groupBy("source").agg(F.sum("rows").alias("n"))
-    begin = begin.alias("b").join(total.alias("t"), F.expr("b.source <=> t.source")).select("b.source", "part", "lo", "before", "n")
-    both = ranked.alias("r").join(begin.alias("b"), F.expr("r.part = b.part AND r.source <=> b.source"))
-    frac = (2 * (F.col("before") + F.col("at") - F.col("lo")) + 1) / (2 * F.col("n"))
+    total = begin.groupBy("source").agg(F.sum("_rows").alias("_n"))
+    begin = begin.alias("b").join(total.alias("t"), F.expr("b.source <=> t.source")).select("b.source", "_part", "_lo", "_before", "_n")
+    both = ranked.alias("r").join(begin.alias("b"), F.expr("r._part = b._part AND r.source <=> b.source"))
+    frac = (2 * (F.col("_before") + F.col("_at") - F.col("_lo")) + 1) / (2 * F.col("_n"))
     spread = stored(row_ids(both.select(*[F.col(f"r.{c}") for c in [*rest, "size", "text_crc32", "_h", "_tie"]], frac.alias("_frac")), "_frac", *order), "spread")
     discard(ranked)
-    begin = starts(spread.select("part", "at"))
+    begin = starts(spread.select("_part", "_at"))
     n = spread.count()
-    place = F.col("before") + F.col("at") - F.col("lo")
-    out = spread.join(begin.drop("rows"), "part").withColumn("_place", place).withColumn("shard", F.expr(f"(_place * {n_shards}) div {max(n, 1)}").cast("int"))
+    place = F.col("_before") + F.col("_at") - F.col("_lo")
+    out = spread.join(begin.drop("_rows"), "_part").withColumn("_place", place).withColumn("shard", F.expr(f"(_place * {n_shards}) div {max(n, 1)}").cast("int"))
     first = F.expr(f"-((-(shard * {n}L)) div {n_shards}) + CASE WHEN (shard * {n}L) % {n_shards} > 0 THEN 1 ELSE 0 END")
     return out.withColumn("slot", F.col("_place") - first).select(*rest, "size", "text_crc32", "shard", "slot")
 
