@@ -22,7 +22,8 @@ from .linear import mean_of
 from .rectify import SCHEMA, Spread, coefficient_rows, correlation, inverse, power_weight, standard_errors
 
 STEPS = 60
-TOLERANCE = 1e-12
+#: A step this small leaves an error of its square.
+TOLERANCE = 1e-8
 
 
 class Family(NamedTuple):
@@ -114,22 +115,22 @@ class Problem:
         return at, False
 
     def spread(self, theta: np.ndarray, unlabelled: bool = True, rectifier_alone: bool = False) -> Spread:
-        """Gradient moments at theta; rectifier_alone: g is then x (yhat - y)."""
-        mu = self.family.mean(F.col("_eta"))
-        t = self.rows.withColumn("_eta", self.eta(theta)).withColumn("_mu", mu)
+        """Gradient moments and curvature at theta, in one pass; rectifier_alone: g is then x (yhat - y)."""
+        eta = F.col("_eta")
+        t = self.rows.withColumn("_eta", self.eta(theta)).withColumn("_mu", self.family.mean(eta)).withColumn("_v", self.family.variance(eta))
         g = [self.on["l"] * c * (self.f - self.y if rectifier_alone else F.col("_mu") - self.y) for c in self.x]
         ghat = [self.on["l"] * c * (F.col("_mu") - self.f) for c in self.x]
         ghat_u = [self.on["u"] * c * (F.col("_mu") - self.f) for c in self.x]
         d, out = range(self.d), []
-        for a, b in ((g, g), (g, ghat), (ghat, ghat), (ghat_u, ghat_u)):
-            out += [F.covar_pop(a[i], b[j]) for i in d for j in d]
+        for p, q in ((g, g), (g, ghat), (ghat, ghat), (ghat_u, ghat_u)):
+            out += [F.covar_pop(p[i], q[j]) for i in d for j in d]
+        out += [F.sum(on * F.col("_v") * p * q) for on in self.on.values() for p in self.x for q in self.x]
         out += [F.avg(c) for c in (*ghat, *ghat_u)]
         r = np.array([0.0 if v is None else v for v in t.agg(*[c.alias(f"s{k}") for k, c in enumerate(out)]).first()])
-        m = r[: 4 * self.d**2].reshape(4, self.d, self.d)
-        means = r[4 * self.d**2 :].reshape(2, self.d)
-        _, _, h = self.step_sums(theta)
+        *m, known, other = r[: 6 * self.d**2].reshape(6, self.d, self.d)
+        means = r[6 * self.d**2 :].reshape(2, self.d)
         both = unlabelled and self.big
-        hessian = (h["l"] + h["u"]) / (self.n + self.big) if both else h["l"] / self.n
+        hessian = (known + other) / (self.n + self.big) if both else known / self.n
         return Spread(self.n, self.big if both else 0, *m, *means, hessian)
 
     def frame(self, spark, rows: list[tuple], schema: str, converged: bool) -> DataFrame:

@@ -92,7 +92,14 @@ SELECT {keys}0::INTEGER AS coord, n::BIGINT AS n, N_::BIGINT AS n_unlabeled, {ro
 _POLY = "0.0"
 for _c in reversed(ERFC):
     _POLY = f"(({_POLY}) * t + ({_c}))"
-P_VALUE = f"(SELECT CASE WHEN q >= 0 THEN e ELSE 2 - e END FROM (SELECT q, t * exp(-q * q + {_POLY}) AS e FROM (SELECT abs(estimate - 0.85) / se / sqrt(2) AS q, 1 / (1 + 0.5 * abs(abs(estimate - 0.85) / se / sqrt(2))) AS t)))"
+
+
+def p_value_sql(z: str) -> str:
+    """Two-sided, of |z|, by the same fit of erfc as in functions.normal."""
+    return f"(SELECT t * exp(-q * q + {_POLY}) FROM (SELECT {z} / sqrt(2) AS q, 1 / (1 + 0.5 * {z} / sqrt(2)) AS t))"
+
+
+P_VALUE = p_value_sql("abs(estimate - 0.85) / se")
 
 query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", by="lang"), name="ppi_mean_by_lang", sql=mean_sql(by="lang"))
 query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", lam=0.0), name="ppi_mean_lam0", sql=mean_sql(lam="0"))
@@ -120,9 +127,10 @@ query(
 )
 
 
-def grid_sql(pick: str, f="fp", y="price", w="1.0", models: str | None = None) -> str:
-    """SQL of a rectified quantile on the 5000-point grid."""
+def grid_sql(pick: str, f="fp", y="price", w="1.0", models: str | None = None, exact=False) -> str:
+    """SQL of a rectified quantile on the 5000-point grid, or on all values."""
     cross_u = f"SELECT unnest({models}) AS v, w / len({models}) AS u, 0.0 AS p FROM d WHERE {y} IS NULL UNION ALL SELECT list_avg({models}), 0.0, w FROM d WHERE {y} IS NULL" if models else f"SELECT {f} AS v, w AS u, w AS p FROM d WHERE {y} IS NULL"
+    grid = "SELECT DISTINCT v AS grid FROM ev" if exact else "SELECT CASE WHEN i = 4999 THEN hi ELSE lo + i * ((hi - lo) / 4999) END AS grid FROM ends, range(5000) r(i)"
     return f"""WITH {ORDERS.replace("1.0::DOUBLE AS w", f"({w})::DOUBLE AS w")}, ev AS (
   SELECT {y} AS v, w AS a, 0.0 AS b, w * w AS q, 0.0 AS u, 0.0 AS p, 0.0 AS p2 FROM d WHERE {y} IS NOT NULL
   UNION ALL SELECT {f}, 0.0, w, w * w, 0.0, 0.0, 0.0 FROM d WHERE {y} IS NOT NULL
@@ -131,14 +139,14 @@ def grid_sql(pick: str, f="fp", y="price", w="1.0", models: str | None = None) -
 ), ends AS (
   SELECT min(v) AS lo, max(v) AS hi FROM ev
 ), g AS (
-  SELECT i, CASE WHEN i = 4999 THEN hi ELSE lo + i * ((hi - lo) / 4999) END AS grid FROM ends, range(5000) r(i)
+  {grid}
 ), s AS (
   SELECT v, sum(a) OVER t AS a, sum(b) OVER t AS b, sum(q) OVER t AS q, sum(u) OVER t AS u, sum(p) OVER t AS p, sum(p2) OVER t AS p2
   FROM (SELECT v, sum(a) AS a, sum(b) AS b, sum(q) AS q, sum(u) AS u, sum(p) AS p, sum(p2) AS p2 FROM ev GROUP BY v) WINDOW t AS (ORDER BY v)
 ), z AS (
   SELECT count({y}) AS n, count(*) - count({y}) AS m, sum(w) FILTER ({y} IS NOT NULL) AS wl, sum(w) FILTER ({y} IS NULL) AS wu FROM d
 ), c AS (
-  SELECT i, grid, n, m, u / wu + (a - b) / wl AS cdf, greatest(1e-16, sqrt(greatest(0, n / (wl * wl) * q - ((a - b) / wl) ** 2) / n + greatest(0, p2 * m / (wu * wu) - (p / wu) ** 2) / m)) AS se
+  SELECT grid, n, m, u / wu + (a - b) / wl AS cdf, greatest(1e-16, sqrt(greatest(0, n / (wl * wl) * q - ((a - b) / wl) ** 2) / n + greatest(0, p2 * m / (wu * wu) - (p / wu) ** 2) / m)) AS se
   FROM g ASOF JOIN s ON g.grid >= s.v, z
 )
 SELECT max(n)::BIGINT AS n, max(m)::BIGINT AS n_unlabeled, {pick} FROM c"""
@@ -153,8 +161,8 @@ MODELS = "[fp * 0.9, fp * 1.1, fp + 1]"
 models = lambda: F.array(F.col("yhat_price") * 0.9, F.col("yhat_price") * 1.1, F.col("yhat_price") + 1)
 query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, models=models()), name="crossppi_quantile_point", sql=grid_sql(POINT.format(q=0.5), models=MODELS))
 query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, models=models()), name="crossppi_quantile_ci", sql=grid_sql(RANGE.format(q=0.5), models=MODELS))
-query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="ppi_quantile_exact")
-query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="ppi_quantile_exact_ci")
+query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="ppi_quantile_exact", sql=grid_sql(POINT.format(q=0.5), exact=True))
+query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="ppi_quantile_exact_ci", sql=grid_sql(RANGE.format(q=0.5), exact=True))
 query(
     lambda s, d: quantile.classical_quantile_ci(orders(s, d), "price", 0.5),
     name="classical_quantile_ci",
@@ -172,7 +180,7 @@ query(
 )
 
 
-def regression_sql(kind: str, x1: str, x2: str, y: str, f: str, source: str, lam: str | None = None, fu: str | None = None, cross_fit=False, classical=False, w="1.0") -> str:
+def regression_sql(kind: str, x1: str, x2: str, y: str, f: str, source: str, lam: str | None = None, fu: str | None = None, cross_fit=False, classical=False, w="1.0", model_based=False, pick: str | None = None) -> str:
     """SQL of a regression on two covariates: least squares in closed form, logistic and Poisson by unrolled Newton steps.
 
     See operators.linear, operators.glm and operators.rectify. lam None is tuned, at the estimate of 1 and again.
@@ -236,9 +244,10 @@ def regression_sql(kind: str, x1: str, x2: str, y: str, f: str, source: str, lam
         part = "((gg{0} - lam * coalesce(gf{0}, 0) + lam * lam * coalesce(ff{0}, 0)) * n / (n - 1) + coalesce(n / nullif(m, 0) * lam * lam * uu{0} * m / (m - 1), 0))"
     sums = ", ".join(f"{part.format(k)} AS s{k}" for k in ("11", "12", "22"))
     rows = " UNION ALL ".join(
-        f"SELECT {k - 1}::INTEGER AS coord, n::BIGINT AS n, {'0' if classical else 'm'}::BIGINT AS n_unlabeled, lam, t{k} AS estimate, sqrt((i{i} * i{i} * s11 + 2 * i{i} * i{j} * s12 + i{j} * i{j} * s22) / n) AS se FROM b" for k, i, j in ((1, "11", "12"), (2, "12", "22"))
+        f"SELECT {k - 1}::INTEGER AS coord, n::BIGINT AS n, {'0' if classical else 'm'}::BIGINT AS n_unlabeled, lam, t{k} AS estimate, {f"sqrt(i{k}{k} / n)" if model_based else f"sqrt((i{i} * i{i} * s11 + 2 * i{i} * i{j} * s12 + i{j} * i{j} * s22) / n)"} AS se FROM b" for k, i, j in ((1, "11", "12"), (2, "12", "22"))
     )
-    final = f"SELECT coord, n, n_unlabeled, {rounded('lam, estimate, se, lower, upper')} FROM (SELECT *, estimate - {Z} * se AS lower, estimate + {Z} * se AS upper FROM ({rows}))"
+    columns = pick or f"coord, n, n_unlabeled, {rounded('lam, estimate, se, lower, upper')}"
+    final = f"SELECT {columns} FROM (SELECT *, estimate - {Z} * se AS lower, estimate + {Z} * se AS upper FROM ({rows}))"
     return "WITH " + ",\n".join(out) + f",\nb AS (SELECT *, {sums} FROM b3)\n{final}"
 
 
@@ -252,10 +261,10 @@ query(lambda s, d: NO_P(linear.cross_ols_ci(orders(s, d), ["one", "x"], "price",
 query(lambda s, d: NO_P(glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat")), name="ppi_logistic_ci_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS))
 query(lambda s, d: NO_P(glm.glm_ci(orders(s, d), "poisson", ["one", "x"], "items", "yhat_items")), name="ppi_poisson_ci_d2", sql=regression_sql("poisson", "1", "x", "items", "fi", ORDERS))
 query(lambda s, d: glm.glm_estimate(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", lam=0.5).drop("lam", "converged"), name="ppi_logistic_estimate", sql=f"SELECT coord, n, n_unlabeled, estimate FROM ({regression_sql('logistic', '1', 'x', 'y', 'f', DOCS, lam='0.5')})")
-query(lambda s, d: glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat").select("coord", "p_value"), name="ppi_logistic_pval_d2")
+query(lambda s, d: glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat").select("coord", "p_value"), name="ppi_logistic_pval_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, pick=f"coord, round({p_value_sql('abs(estimate) / se')}, {DIGITS}) + 0.0 AS p_value"))
 query(lambda s, d: NO_P(glm.classical_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality")), name="classical_logistic_ci_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, lam="0", classical=True))
 query(lambda s, d: NO_P(glm.classical_glm_ci(orders(s, d), "poisson", ["one", "x"], "items")), name="classical_poisson_ci_d2", sql=regression_sql("poisson", "1", "x", "items", "fi", ORDERS, lam="0", classical=True))
-query(lambda s, d: glm.classical_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", model_based=True).select("coord", "estimate", "se"), name="model_based_logistic_ci")
+query(lambda s, d: glm.classical_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", model_based=True).select("coord", "estimate", "se"), name="model_based_logistic_ci", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, lam="0", classical=True, model_based=True, pick=f"coord, {rounded('estimate, se')}"))
 query(
     lambda s, d: NO_P(glm.cross_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", F.array(F.col("yhat") * 0.9, F.col("yhat")))),
     name="crossppi_logistic_ci",
@@ -344,6 +353,16 @@ def plan_sql(rho: str, budget: float | None, size: float | None, cx: float, cy:
            CASE WHEN alone THEN a ELSE round_even(n * (n + m) / (n + (1 - r) * m), 0) END::BIGINT AS effective_n, round(rho, 5) + 0.0 AS correlation FROM b"""
 
 
+#: The correlation of a label's and its prediction's influence on the second coefficient of price ~ 1 + x.
+INFLUENCE = ORDERS + """, r AS (
+  SELECT x, price AS y, fp AS f FROM d WHERE price IS NOT NULL
+), h AS (
+  SELECT count(*) AS k, sum(x) AS h12, sum(x * x) AS h22, sum(y) AS b1, sum(x * y) AS b2 FROM r
+), t AS (
+  SELECT *, (h22 * b1 - h12 * b2) / (k * h22 - h12 * h12) AS t1, (k * b2 - h12 * b1) / (k * h22 - h12 * h12) AS t2 FROM h
+), rho AS (
+  SELECT max(k) AS k, corr((k * x - h12) * (t1 + x * t2 - y), (k * x - h12) * (t1 + x * t2 - f)) AS rho FROM r, t
+),"""
 query(lambda s, d: power.as_frame(s, power.plan(0.8, 0.0, 1.0, 0.1, budget=1000)), name="power_known_corr", sql=plan_sql("0.8::DOUBLE", 1000, None, 0, 1, 0.1))
 query(lambda s, d: power.as_frame(s, power.plan(0.5, 0.1, 2.0, 0.1, effective_n=500)), name="power_cheap", sql=plan_sql("0.5::DOUBLE", None, 500, 0.1, 2, 0.1))
 query(lambda s, d: power.as_frame(s, power.plan(0.9, 0.0, 1.0, 0.1, budget=1000, n_max=2000), power.plan(0.9, 0.0, 1.0, 0.1, effective_n=1000, n_max=1500)), name="power_n_max")
@@ -352,7 +371,7 @@ query(
     name="power_mean",
     sql=plan_sql("(SELECT least(corr(y, f), 1 - 1 / count(y)) FROM d WHERE y IS NOT NULL)", 500, None, 0, 1, 0.05, source=DOCS + ","),
 )
-query(lambda s, d: power.ols_power(orders(s, d), ["one", "x"], "price", "yhat_price", 0.0, 1.0, 0.1, 1, budget=200), name="power_ols")
+query(lambda s, d: power.ols_power(orders(s, d), ["one", "x"], "price", "yhat_price", 0.0, 1.0, 0.1, 1, budget=200), name="power_ols", sql=plan_sql("(SELECT least(rho, 1 - 1 / k) FROM rho)", 200, None, 0, 1, 0.1, source=INFLUENCE))
 query(lambda s, d: power.glm_power(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", 0.0, 1.0, 0.1, 0, budget=200), name="power_logistic")
 query(lambda s, d: power.glm_power(orders(s, d), "poisson", ["one", "x"], "items", "yhat_items", 0.0, 1.0, 0.1, 0, budget=200), name="power_poisson")
 query(lambda s, d: s.createDataFrame([(power.size_for_effect(0.05, 0.5), power.size_for_effect(0.1, 0.5, 0.9))], "a long, b long"), name="size_for_effect")
