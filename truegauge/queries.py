@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from .functions.normal import ERFC, binomial_bounds, dkw_error, max_binomial_error, z_of
 from .operators import baselines, cross, experiment, glm, labelshift, linear, mean, power, ptd, quantile, resample
-from .operators.rectify import bounds
 from .sources.tables import labelled_documents, load, order_lines
 
 QUERIES: dict = {}
