@@ -17,7 +17,6 @@ are connected components over the links.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
