@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op3_ngram_join": ngram_join.OP3_SQL,
     "op5_chat": chat.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
