@@ -100,16 +100,16 @@ def p_value_sql(z: str) -> str:
 
 P_VALUE = p_value_sql("abs(estimate - 0.85) / se")
 
-query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", by="lang"), name="ppi_mean_by_lang", sql=mean_sql(by="lang"))
-query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", lam=0.0), name="ppi_mean_lam0", sql=mean_sql(lam="0"))
-query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", lam=1.0), name="ppi_mean_lam1", sql=mean_sql(lam="1"))
-query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", by="lang", w="w"), name="ppi_mean_weighted", sql=mean_sql(by="lang", w="w"))
-query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", alternative="larger"), name="ppi_mean_onesided", sql=mean_sql(z=z_of(0.1, "larger"), one_sided=True))
-query(lambda s, d: mean.mean_estimate(docs(s, d), "quality", "yhat", by="source"), name="ppi_mean_estimate", sql=mean_sql(by="source", columns="lam, estimate"))
-query(lambda s, d: mean.mean_pval(docs(s, d), "quality", "yhat", null=0.85), name="ppi_mean_pval", sql=mean_sql(clip=False, columns="lam, estimate, se, p_value").replace("FROM o", f"FROM (SELECT *, {P_VALUE} AS p_value FROM o)"))
+query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", by="lang"), name="rectified_mean_by_lang", sql=mean_sql(by="lang"))
+query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", lam=0.0), name="rectified_mean_lam0", sql=mean_sql(lam="0"))
+query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", lam=1.0), name="rectified_mean_lam1", sql=mean_sql(lam="1"))
+query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", by="lang", w="w"), name="rectified_mean_weighted", sql=mean_sql(by="lang", w="w"))
+query(lambda s, d: mean.mean_ci(docs(s, d), "quality", "yhat", alternative="larger"), name="rectified_mean_onesided", sql=mean_sql(z=z_of(0.1, "larger"), one_sided=True))
+query(lambda s, d: mean.mean_estimate(docs(s, d), "quality", "yhat", by="source"), name="rectified_mean_estimate", sql=mean_sql(by="source", columns="lam, estimate"))
+query(lambda s, d: mean.mean_pval(docs(s, d), "quality", "yhat", null=0.85), name="rectified_mean_pval", sql=mean_sql(clip=False, columns="lam, estimate, se, p_value").replace("FROM o", f"FROM (SELECT *, {P_VALUE} AS p_value FROM o)"))
 query(
     lambda s, d: mean.mean_ci(docs(s, d), ["quality", "toxic"], ["yhat", "yhat"], mode="element"),
-    name="ppi_mean_multid_element",
+    name="rectified_mean_multid_element",
     sql=f"SELECT * FROM ({mean_sql()}) UNION ALL SELECT * REPLACE (1::INTEGER AS coord) FROM ({mean_sql(y='y2')})",
 )
 query(
@@ -153,15 +153,15 @@ SELECT max(n)::BIGINT AS n, max(m)::BIGINT AS n_unlabeled, {pick} FROM c"""
 
 POINT = "round(arg_min(grid, (round(abs(cdf - {q}), 12), grid)), 5) + 0.0 AS estimate"
 RANGE = f"round(min(grid) FILTER (abs((cdf - {{q}}) / se) < {Z}), 5) + 0.0 AS lower, round(max(grid) FILTER (abs((cdf - {{q}}) / se) < {Z}), 5) + 0.0 AS upper"
-query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5), name="ppi_quantile_point", sql=grid_sql(POINT.format(q=0.5)))
-query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.75), name="ppi_quantile_ci", sql=grid_sql(RANGE.format(q=0.75)))
-query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.25, w=F.col("o") % 3 + 1), name="ppi_quantile_weighted", sql=grid_sql(RANGE.format(q=0.25), w="o % 3 + 1"))
+query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5), name="rectified_quantile_point", sql=grid_sql(POINT.format(q=0.5)))
+query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.75), name="rectified_quantile_ci", sql=grid_sql(RANGE.format(q=0.75)))
+query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.25, w=F.col("o") % 3 + 1), name="rectified_quantile_weighted", sql=grid_sql(RANGE.format(q=0.25), w="o % 3 + 1"))
 MODELS = "[fp * 0.9, fp * 1.1, fp + 1]"
 models = lambda: F.array(F.col("yhat_price") * 0.9, F.col("yhat_price") * 1.1, F.col("yhat_price") + 1)
-query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, models=models()), name="crossppi_quantile_point", sql=grid_sql(POINT.format(q=0.5), models=MODELS))
-query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, models=models()), name="crossppi_quantile_ci", sql=grid_sql(RANGE.format(q=0.5), models=MODELS))
-query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="ppi_quantile_exact", sql=grid_sql(POINT.format(q=0.5), exact=True))
-query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="ppi_quantile_exact_ci", sql=grid_sql(RANGE.format(q=0.5), exact=True))
+query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, models=models()), name="crossfit_quantile_point", sql=grid_sql(POINT.format(q=0.5), models=MODELS))
+query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, models=models()), name="crossfit_quantile_ci", sql=grid_sql(RANGE.format(q=0.5), models=MODELS))
+query(lambda s, d: quantile.quantile_estimate(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="rectified_quantile_exact", sql=grid_sql(POINT.format(q=0.5), exact=True))
+query(lambda s, d: quantile.quantile_ci(orders(s, d), "price", "yhat_price", 0.5, exact_grid=True), name="rectified_quantile_exact_ci", sql=grid_sql(RANGE.format(q=0.5), exact=True))
 query(
     lambda s, d: quantile.classical_quantile_ci(orders(s, d), "price", 0.5),
     name="classical_quantile_ci",
@@ -251,22 +251,22 @@ def regression_sql(kind: str, x1: str, x2: str, y: str, f: str, source: str, lam
 
 
 NO_P = lambda df: df.drop("p_value", "converged")
-query(lambda s, d: NO_P(linear.ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price")), name="ppi_ols_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS))
-query(lambda s, d: NO_P(linear.ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", lam=0.0)), name="ppi_ols_lam0", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, lam="0"))
-query(lambda s, d: NO_P(linear.ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", w=F.col("o") % 3 + 1)), name="ppi_wls_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, w="o % 3 + 1"))
-query(lambda s, d: linear.ols_estimate(orders(s, d), ["one", "x"], "price", "yhat_price", lam=0.5).drop("lam"), name="ppi_ols_estimate", sql=f"SELECT coord, n, n_unlabeled, estimate FROM ({regression_sql('ols', '1', 'x', 'price', 'fp', ORDERS, lam='0.5')})")
+query(lambda s, d: NO_P(linear.ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price")), name="rectified_ols_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS))
+query(lambda s, d: NO_P(linear.ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", lam=0.0)), name="rectified_ols_lam0", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, lam="0"))
+query(lambda s, d: NO_P(linear.ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", w=F.col("o") % 3 + 1)), name="rectified_wls_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, w="o % 3 + 1"))
+query(lambda s, d: linear.ols_estimate(orders(s, d), ["one", "x"], "price", "yhat_price", lam=0.5).drop("lam"), name="rectified_ols_estimate", sql=f"SELECT coord, n, n_unlabeled, estimate FROM ({regression_sql('ols', '1', 'x', 'price', 'fp', ORDERS, lam='0.5')})")
 query(lambda s, d: NO_P(linear.classical_ols_ci(orders(s, d), ["one", "x"], "price")), name="classical_ols_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, lam="0", classical=True))
-query(lambda s, d: NO_P(linear.cross_ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", models())), name="crossppi_ols_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, lam="1", fu=f"list_avg({MODELS})", cross_fit=True))
-query(lambda s, d: NO_P(glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat")), name="ppi_logistic_ci_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS))
-query(lambda s, d: NO_P(glm.glm_ci(orders(s, d), "poisson", ["one", "x"], "items", "yhat_items")), name="ppi_poisson_ci_d2", sql=regression_sql("poisson", "1", "x", "items", "fi", ORDERS))
-query(lambda s, d: glm.glm_estimate(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", lam=0.5).drop("lam", "converged"), name="ppi_logistic_estimate", sql=f"SELECT coord, n, n_unlabeled, estimate FROM ({regression_sql('logistic', '1', 'x', 'y', 'f', DOCS, lam='0.5')})")
-query(lambda s, d: glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat").select("coord", "p_value"), name="ppi_logistic_pval_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, pick=f"coord, round({p_value_sql('abs(estimate) / se')}, {DIGITS}) + 0.0 AS p_value"))
+query(lambda s, d: NO_P(linear.cross_ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", models())), name="crossfit_ols_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, lam="1", fu=f"list_avg({MODELS})", cross_fit=True))
+query(lambda s, d: NO_P(glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat")), name="rectified_logistic_ci_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS))
+query(lambda s, d: NO_P(glm.glm_ci(orders(s, d), "poisson", ["one", "x"], "items", "yhat_items")), name="rectified_poisson_ci_d2", sql=regression_sql("poisson", "1", "x", "items", "fi", ORDERS))
+query(lambda s, d: glm.glm_estimate(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", lam=0.5).drop("lam", "converged"), name="rectified_logistic_estimate", sql=f"SELECT coord, n, n_unlabeled, estimate FROM ({regression_sql('logistic', '1', 'x', 'y', 'f', DOCS, lam='0.5')})")
+query(lambda s, d: glm.glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat").select("coord", "p_value"), name="rectified_logistic_pval_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, pick=f"coord, round({p_value_sql('abs(estimate) / se')}, {DIGITS}) + 0.0 AS p_value"))
 query(lambda s, d: NO_P(glm.classical_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality")), name="classical_logistic_ci_d2", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, lam="0", classical=True))
 query(lambda s, d: NO_P(glm.classical_glm_ci(orders(s, d), "poisson", ["one", "x"], "items")), name="classical_poisson_ci_d2", sql=regression_sql("poisson", "1", "x", "items", "fi", ORDERS, lam="0", classical=True))
 query(lambda s, d: glm.classical_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", model_based=True).select("coord", "estimate", "se"), name="model_based_logistic_ci", sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, lam="0", classical=True, model_based=True, pick=f"coord, {rounded('estimate, se')}"))
 query(
     lambda s, d: NO_P(glm.cross_glm_ci(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", F.array(F.col("yhat") * 0.9, F.col("yhat")))),
-    name="crossppi_logistic_ci",
+    name="crossfit_logistic_ci",
     sql=regression_sql("logistic", "1", "x", "y", "f", DOCS, lam="1", fu="f * 0.95", cross_fit=True),
 )
 
@@ -294,7 +294,7 @@ query(lambda s, d: labelshift.shifted_ci(languages(s, d), "y", "yhat", 2, [0, 1]
 
 query(
     lambda s, d: cross.cross_mean_ci(docs(s, d), "quality", "yhat", F.array(F.col("yhat") * 0.9, F.col("yhat") * 1.05, F.col("yhat")), by="lang"),
-    name="crossppi_mean_ci",
+    name="crossfit_mean_ci",
     sql=f"""WITH {DOCS}, e AS (
       SELECT lang, count(y) AS n, count(*) - count(y) AS m, avg(f * 2.95 / 3) FILTER (y IS NULL) + avg(y - f) AS estimate, var_pop(f * 2.95 / 3) FILTER (y IS NULL) AS vu, var_pop(y - f) AS ve FROM d GROUP BY lang
     ), o AS (SELECT *, sqrt(vu / m + ve / n) AS se FROM e), p AS (SELECT *, estimate - {Z} * se AS lower, estimate + {Z} * se AS upper FROM o)
@@ -381,8 +381,8 @@ def rows_of(x: np.ndarray) -> float:
     return float(np.mean(x))
 
 
-query(lambda s, d: resample.bootstrap_ci(docs(s, d), rows_of, "quality", "yhat"), name="ppboot_mean")
-query(lambda s, d: resample.bootstrap_ci(orders(s, d), lambda x, v: np.corrcoef(x[:, 0], v)[0, 1], "price", "yhat_price", x="count", n_resamples=300, method="basic"), name="ppboot_corr")
+query(lambda s, d: resample.bootstrap_ci(docs(s, d), rows_of, "quality", "yhat"), name="rectified_bootstrap_mean")
+query(lambda s, d: resample.bootstrap_ci(orders(s, d), lambda x, v: np.corrcoef(x[:, 0], v)[0, 1], "price", "yhat_price", x="count", n_resamples=300, method="basic"), name="rectified_bootstrap_corr")
 query(lambda s, d: resample.classical_bootstrap_ci(docs(s, d), rows_of, "quality"), name="classical_bootstrap_mean")
 query(lambda s, d: resample.poisson_mean_ci(docs(s, d), "quality", "yhat"), name="poisson_bootstrap_mean")
 query(lambda s, d: ptd.ptd_linear(orders(s, d), ["one", "x"], ["one", "x"], "price", "yhat_price", n_resamples=200), name="ptd_linear")
