@@ -1,31 +1,49 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of symbols, trained on trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney model of pairs of words, trained on trusted text.
 
-Characters fold to an alphabet of 64 symbols, so that a 4-gram is a 24-bit number and every table here has a proven
-bound. All trusted documents are counted; the counts, continuation counts and context sums are tables sharded by
-gram, joined to the grams that occur in any document, which gives the probability of each. A document's perplexity
-is over its whole text, and is held against a quantile of the trusted documents of its language.
+Words are numbered by a 32-bit hash, letters unfolded, in every script. All pairs of the trusted documents are counted;
+counts, continuation counts and context sums are tables that grow with the corpus, and give each gram a weight. These
+meet the grams of the documents shard by shard, and are summed by document. A document's perplexity is over its whole
+text, and is held against a quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
+import math
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, free_of, has_bit, id_bits, id_slot, short_batches, stored, with_columns
+from .common import discard, documents, free_of, has_bit, id_bits, id_slot, mix64, short_batches, stored
 
+#: Of probabilities() and grams(), the model of folded characters; classify() doesn't use it.
 ORDER = 4
 BITS = 6
 GRAMS = 1 << (BITS * ORDER)
 #: A document may be as perplexing as this quantile of the trusted ones of its language, and so far beyond it, in distances of it from the median.
 QUANTILE = 0.99
 MARGIN = 2.0
+#: Runs of letters; digits, marks, line ends, and the letters of scripts without spaces one by one. Nothing is folded.
+ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W\d_{ALONE}]+|[^\s]|\n")
+START, END = 1, 2
+MOST_CACHED = 1_000_000
+#: Words in a chunk of texts, and characters of all texts for each shard.
+CHUNK, SHARD_CHARS = 1 << 20, 1 << 24
+#: Grams are looked up by so many bits of a hash within their shard: as shards grow in number, not in size, a million or so
+#: grams share 2^40 keys at every scale, and about one lookup in a million of a gram that wasn't counted finds another's weight.
+KEY_BITS = 40
+#: One in so many trusted documents isn't counted; the limits come from these.
+HELD_OUT = 5
 PUNCTUATION = ".,;:!?'\"-()/|#*$%&@_=+<>"
 
 
@@ -62,31 +80,156 @@ def grams(text: str) -> np.ndarray:
     return g
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) over packed texts; a row for each gram and task."""
+@functools.cache
+def number(word: str) -> int:
+    """The 32-bit number of a word; 0 to 2 are taken."""
+    return max(int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little"), 3)
+
+
+def numbers(text: str) -> np.ndarray:
+    """START, the numbers of the words of text, END."""
+    if number.cache_info().currsize > MOST_CACHED:
+        number.cache_clear()
+    return np.array([START, *map(number, WORDS.findall(text)), END], dtype=np.uint64)
+
+
+def pairs(s: np.ndarray) -> np.ndarray:
+    return s[:-1] << np.uint64(32) | s[1:]
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(gram, n) over packed texts: pairs of words; a row for each pair and chunk of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, unpack = np.zeros(GRAMS, dtype=np.uint32), zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for packed in b.column("packed").to_pylist():
-                np.add.at(count, grams(unpack(packed).decode()), 1)
-        found = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(count[found].astype(np.int64))], names=["gram", "n"])
+        unpack, held, size = zstandard.ZstdDecompressor().decompress, [], 0
+        for packed in itertools.chain.from_iterable(itertools.chain((b.column("packed").to_pylist() for b in batches), [[None]])):
+            if packed is not None:
+                held.append(pairs(numbers(unpack(packed).decode("utf-8", "surrogatepass"))))
+                size += len(held[-1])
+            if held and (packed is None or size >= CHUNK):
+                found, n = np.unique(np.concatenate(held), return_counts=True)
+                held, size = [], 0
+                for i in range(0, len(found), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)].astype(np.int64))], names=["gram", "n"])
 
     return short_batches(texts.select("packed")).mapInArrow(run, "gram long, n long")
 
 
-def grams_seen(texts: DataFrame) -> DataFrame:
-    """The distinct grams of all texts."""
+def weights(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(gram, w) and a constant: log p of a text is the sum of w over its pairs and words, plus the constant for each symbol.
+
+    With log p(c | b) = w(bc) + log bow(b) + log p(c) for pairs that were counted, and without w(bc) for the others,
+    what interpolation gives falls apart into one number for each gram, so texts need only look up their own grams.
+    """
+    first, last = F.shiftrightunsigned("gram", 32), F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF))
+    off = lambda d: F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+    d2 = discounts(counts)
+    after = stored(counts.groupBy(last.alias("c")).agg(F.count(F.lit(1)).alias("n")), "after")
+    d1 = discounts(after)
+    size, total, taken = after.agg(F.count(F.lit(1)), F.sum("n"), F.sum(off(d1))).first()
+    if not size:
+        return stored(counts.select("gram", F.lit(0.0).cast("float").alias("w")).limit(0), "weights"), 0.0
+    unseen = max(taken / total, 1e-9) / (size + 1)  # of a word that was never counted
+    words = after.select("c", ((F.col("n") - off(d1)) / total + unseen).alias("p"))
+    context = counts.groupBy(first.alias("b")).agg(F.sum("n").alias("all"), F.greatest(F.sum(off(d2)), F.lit(1e-9)).alias("taken"))
+    context = stored(context, "context")
+    single = words.join(context, F.col("c") == F.col("b"), "full")
+    w1 = F.coalesce(F.log(F.col("p") / unseen), F.lit(0.0)) + F.coalesce(F.log(F.col("taken") / F.col("all")), F.lit(0.0))
+    double = counts.select("gram", "n", first.alias("b"), last.alias("c")).join(context, "b").join(words, "c")
+    w2 = F.log1p((F.col("n") - off(d2)) / (F.col("taken") * F.col("p")))
+    out = stored(single.select(F.coalesce("c", "b").alias("gram"), w1.cast("float").alias("w")).unionByName(double.select("gram", w2.cast("float").alias("w"))), "weights")
+    discard(after, context)
+    return out, math.log(unseen)
+
+
+def planes(a: np.ndarray) -> bytes:
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def shard_of(gram: np.ndarray, shards: int) -> np.ndarray:
+    return ((gram >> np.uint64(32)) * np.uint64(31) + (gram & np.uint64(0xFFFFFFFF))) & np.uint64(shards - 1)
+
+
+def key_of(gram: np.ndarray) -> np.ndarray:
+    return mix64(gram) >> np.uint64(64 - KEY_BITS)
+
+
+def occurrences(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, chunk, docs, grams) of texts (h, text): for each chunk of texts and shard the grams, and the texts they are in."""
+
+    def flush(chunk: int, hashes: list, held: list) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        sizes = [len(s) for s in held]
+        gram = np.concatenate([*held, *map(pairs, held)])
+        doc = np.concatenate([np.repeat(np.arange(len(held), dtype=np.uint16), sizes), np.repeat(np.arange(len(held), dtype=np.uint16), np.array(sizes) - 1)])
+        gram = shard_of(gram, shards) << np.uint64(KEY_BITS) | key_of(gram)
+        by = np.argsort(gram)
+        gram, doc = gram[by], doc[by]
+        ends = np.searchsorted(gram, np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
+        rows = []
+        for k in range(shards):
+            g, d = gram[ends[k] : ends[k + 1]] & np.uint64((1 << KEY_BITS) - 1), doc[ends[k] : ends[k + 1]]
+            at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+            runs = np.diff(np.r_[at, len(g)]).astype(np.uint32)
+            parts = [pack(planes(np.diff(g[at], prepend=np.uint64(0)))), pack(planes(runs)), pack(planes(d))]
+            about = np.array([hashes, np.array(sizes) - 2], dtype=np.int64).tobytes() if k == 0 else None
+            rows.append((k, chunk, len(held), about, *parts))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    names = ["shard", "chunk", "docs", "about", "grams", "runs", "doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(GRAMS, dtype=bool)
+        chunk, hashes, held, size = TaskContext.get().partitionId() << 32, [], [], 0
         for b in batches:
-            for text in b.column("text").to_pylist():
-                seen[grams(text)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int64))], names=["gram"])
-
-    return short_batches(texts.select("text").where("text IS NOT NULL")).mapInArrow(run, "gram long").distinct()
+            for h, text in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
+                s = numbers(text)
+                hashes.append(h)
+                held.append(s)
+                size += len(s)
+                if size >= CHUNK or len(held) >= 1 << 16:
+                    yield flush(chunk, hashes, held)
+                    chunk, hashes, held, size = chunk + 1, [], [], 0
+        if held:
+            yield flush(chunk, hashes, held)
+
+    return short_batches(texts).mapInArrow(run, "shard int, chunk long, docs int, about binary, grams binary, runs binary, doc binary")
+
+
+def text_scores(texts: DataFrame, table: DataFrame, constant: float) -> DataFrame:
+    """(h, n, _nll) of texts (h, text): the number of words, and the mean of -log p; copies of a text weigh alike, so they leave its mean."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = 1 << min(max(3, math.ceil(math.log2(max(chars, 1) / SHARD_CHARS))), 16)
+
+    def look_up(found: pa.Table, model: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        key = key_of(model.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+        by = np.argsort(key)
+        key, w = key[by], model.column("w").to_numpy().astype(np.float64)[by]
+        sums = []
+        for docs, grams, runs, doc in zip(*(found.column(c).to_pylist() for c in ("docs", "grams", "runs", "doc")), strict=True):
+            g = np.cumsum(unplanes(unpack(grams), np.uint64), dtype=np.uint64)
+            at = np.minimum(np.searchsorted(key, g), max(len(key) - 1, 0))
+            got = np.where(key[at] == g, w[at], 0.0) if len(key) else np.zeros(len(g))
+            each = np.repeat(got, unplanes(unpack(runs), np.uint32))
+            sums.append(np.bincount(unplanes(unpack(doc), np.uint16), each, docs).tobytes())
+        return pa.table({"chunk": found.column("chunk"), "about": found.column("about"), "sums": pa.array(sums, pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x) for x in t.column("sums").to_pylist()], axis=0)
+        h, n = np.frombuffer(next(x for x in t.column("about").to_pylist() if x is not None), np.int64).reshape(2, -1)
+        return pa.table({"h": h, "n": n, "total": -(total + constant * (n + 1))})
+
+    shard = F.expr(f"(shiftrightunsigned(gram, 32) * 31 + (gram & 4294967295L)) & {shards - 1}L").cast("int").alias("shard")
+    model = table.select(shard, "gram", "w")
+    sums = occurrences(texts, shards).groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(look_up, "chunk long, about binary, sums binary")
+    each = sums.where("chunk IS NOT NULL").groupBy("chunk").applyInArrow(add, "h long, n long, total double")
+    return each.groupBy("h").agg(F.max("n").alias("n"), (F.sum("total") / F.sum(F.col("n") + 1)).alias("_nll"))
 
 
 def discounts(counts: DataFrame) -> list[float]:
@@ -133,24 +276,22 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     """docs without text, with n_symbols, perplexity and kept; trusted: the doc_ids (column doc_id) of trusted text.
 
     A null or empty text has no perplexity (null) and isn't kept. Null languages are a language; one without trusted
-    documents is held against all trusted ones; without any trusted text at all everything is kept. Every row stays;
+    documents held out is held against those of all languages; without any trusted text at all everything is kept. Every row stays;
     columns that clash with the new names are left out.
     """
-    counts = stored(gram_counts(of_ids(docs, trusted)).groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    table = probabilities(counts, grams_seen(docs)).toPandas()  # at most GRAMS rows, as there are no more grams
-    sent = docs.sparkSession.sparkContext.broadcast((table.gram.to_numpy(np.int32), table.nll.to_numpy(np.float32)))
-    rest = free_of(docs, "text", "n_symbols", "perplexity", "kept", "_nll", "_limit", "_trusted", "_all")
-    nll: list[np.ndarray] = []
-
-    def score(b: pa.RecordBatch) -> list:
-        if not nll:
-            nll.append(np.zeros(GRAMS, dtype=np.float32))
-            nll[0][sent.value[0]] = sent.value[1]
-        texts = [t or "" for t in b.column("text").to_pylist()]
-        return [[len(t) for t in texts], [float(nll[0][grams(t)].mean(dtype=np.float64)) if t else None for t in texts]]
-
-    scored = stored(with_columns(docs.select(*rest, "text"), rest, "n_symbols long, _nll double", score), "scores")
-    known = scored.select("doc_id", "lang", "_nll").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").where("_nll IS NOT NULL")
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    counts = stored(pair_counts(of_ids(docs, ids.where(~held_out))).groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    table, constant = weights(counts)
+    discard(counts)
+    rest = free_of(docs, "text", "n_symbols", "perplexity", "kept", "_nll", "_limit", "_trusted", "_all", "_h")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").where("text IS NOT NULL")
+    each = stored(text_scores(texts, table, constant), "texts").select(F.col("h").alias("_h"), F.col("n").alias("n_symbols"), F.when(F.col("n") > 0, F.col("_nll")).alias("_nll"))
+    hashed = docs.select(*rest, F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("_h"))
+    scored = stored(hashed.join(each, "_h", "left").select(*rest, F.coalesce("n_symbols", F.lit(0)).cast("long").alias("n_symbols"), "_nll"), "scores")
+    known = scored.select("doc_id", "lang", "_nll").where("_nll IS NOT NULL")
+    spared = known.join(ids.where(held_out), "doc_id", "left_semi")
+    known = spared if spared.head(1) else known.join(ids, "doc_id", "left_semi")  # a handful of trusted texts, none held out
     at = lambda q: F.percentile_approx("_nll", F.lit(q), F.lit(10000))
     limit = (at(quantile) + margin * (at(quantile) - at(0.5))).alias("_limit")
     limits = known.groupBy(F.col("lang").alias("_lang")).agg(limit)
