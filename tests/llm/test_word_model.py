@@ -52,3 +52,13 @@ def test_weights_sum_to_kneser_ney(spark):
         assert np.isclose(got[i]._nll, -np.mean([np.log(p(b, c)) for b, c in zip(s, s[1:])]), rtol=1e-5)
     start = kneser_ney.START
     assert np.isclose(sum(p(start, c) for c in after) + p(start, 99), 1)
+
+
+def test_limit_is_the_quantile_of_held_out_texts(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{chr(97 + k)}" for k in rng.integers(0, 26, 40)) + f" only{chr(97 + i % 26)}{chr(97 + i // 26)}" * (i % 7), "en") for i in range(400)]
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 2)], "doc_id long")
+    out = kneser_ney.classify(spark.createDataFrame(rows, SCHEMA), ids, quantile=0.8).toPandas().set_index("doc_id")
+    spared = [r.doc_id for r in ids.where(f"pmod(xxhash64(doc_id, 'held out'), {kneser_ney.HELD_OUT}) = 0").collect()]
+    limit = np.sort(out.perplexity[spared])[int(np.ceil(0.8 * len(spared))) - 1]
+    assert 20 < len(spared) < 60 and (out.kept == (out.perplexity <= limit)).all() and not out.kept[spared].all()

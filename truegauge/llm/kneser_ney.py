@@ -29,9 +29,8 @@ from .common import discard, documents, free_of, has_bit, id_bits, id_slot, mix6
 ORDER = 4
 BITS = 6
 GRAMS = 1 << (BITS * ORDER)
-#: A document may be as perplexing as this quantile of the trusted ones of its language, and so far beyond it, in distances of it from the median.
+#: A document may be as perplexing as this quantile of the held-out trusted ones of its language.
 QUANTILE = 0.99
-MARGIN = 2.0
 #: Runs of letters; digits, marks, line ends, and the letters of scripts without spaces one by one. Nothing is folded.
 ALONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORDS = re.compile(rf"[^\W\d_{ALONE}]+|[^\s]|\n")
@@ -272,11 +271,12 @@ def of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return some.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """docs without text, with n_symbols, perplexity and kept; trusted: the doc_ids (column doc_id) of trusted text.
 
     A null or empty text has no perplexity (null) and isn't kept. Null languages are a language; one without trusted
-    documents held out is held against those of all languages; without any trusted text at all everything is kept. Every row stays;
+    documents held out is held against those of all languages; without any trusted text at all everything is kept.
+    Every row stays;
     columns that clash with the new names are left out.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -292,8 +292,7 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     known = scored.select("doc_id", "lang", "_nll").where("_nll IS NOT NULL")
     spared = known.join(ids.where(held_out), "doc_id", "left_semi")
     known = spared if spared.head(1) else known.join(ids, "doc_id", "left_semi")  # a handful of trusted texts, none held out
-    at = lambda q: F.percentile_approx("_nll", F.lit(q), F.lit(10000))
-    limit = (at(quantile) + margin * (at(quantile) - at(0.5))).alias("_limit")
+    limit = F.percentile_approx("_nll", F.lit(quantile), F.lit(10000)).alias("_limit")
     limits = known.groupBy(F.col("lang").alias("_lang")).agg(limit)
     overall = known.agg(limit.alias("_all"))
     few = limits.count() <= 100_000
