@@ -10,7 +10,7 @@ from truegauge.llm.line_dedup import dedup_lines
 from truegauge.llm.mixing import mixed
 from truegauge.llm.ngram_join import ngram_join
 from truegauge.llm.packing import pack
-from truegauge.llm.quality_rules import quality
+from truegauge.llm.quality_rules import RULES_BY_LANG, quality
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates, unless a contract says otherwise: shingles of five words, similarity of 0.8 or more.
@@ -20,8 +20,11 @@ MAX_EPOCHS = 2.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; a null text is rejected, as it has no words."""
-    return quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    """Documents that the rules reject go; a null text is rejected, as it has no words.
+
+    Stop words are asked for only in languages that have a list of them (en, de, es, fr).
+    """
+    return quality(docs.select(*COLUMNS), RULES_BY_LANG).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

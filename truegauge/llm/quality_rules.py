@@ -37,6 +37,10 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.4),
 )
 
+#: The same for documents with a column lang: the stop-word rule binds only where the language has a list.
+LISTED = f"substring_index(lower(replace(lang, '_', '-')), '-', 1) IN ({', '.join(map(repr, STOP_WORDS))})"
+RULES_BY_LANG = tuple(r._replace(metric=f"CASE WHEN {LISTED} THEN {r.metric} END") if r.name == "stop_words" else r for r in RULES)
+
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
