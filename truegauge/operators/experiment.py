@@ -72,11 +72,31 @@ def width_summary(results: DataFrame, by=("method", "n")) -> DataFrame:
     return results.groupBy(*listed(by)).agg(F.avg("width").alias("width"), F.count(F.lit(1)).alias("trials"))
 
 
+#: Sizes that a pass of rejection_search tries.
+STEPS = 7
+
+
 def rejection_search(df: DataFrame, y, yhat, key, null: float, power: float, sizes: list[int], trials: int, alpha=0.1, seed=0) -> DataFrame:
-    """(method, n): the least of sizes at which the share of trials whose interval leaves out null reaches power."""
-    t = trial_grid(df, y, yhat, key, sizes, trials, alpha, seed)
-    rate = t.groupBy("method", "n").agg(F.avg(F.when((F.col("lower") > null) | (F.col("upper") < null), 1.0).otherwise(0.0)).alias("rate"))
-    return rate.groupBy("method").agg(F.min(F.when(F.col("rate") >= power, F.col("n"))).alias("n"))
+    """(method, n): the n at which the share of trials whose interval leaves out null reaches power, while n - 1 falls short.
+
+    sizes, and the most that leaves two labelled rows without label, are tried first; then the step in which power is
+    first reached is divided, STEPS sizes a pass. Null if even the most doesn't reach it.
+    """
+    most = df.where(column(y).isNotNull()).count() - 2
+    rates: dict[str, dict[int, float]] = {"rectified": {1: 0.0}, "classical": {1: 0.0}}  # one label has no variance
+    ask = {n for n in sizes if 1 < n < most} | ({most} if most > 1 else set())
+    first: dict[str, int | None] = {}
+    while ask:
+        t = trial_grid(df, y, yhat, key, sorted(ask), trials, alpha, seed)
+        rate = F.avg(F.when((F.col("lower") > null) | (F.col("upper") < null), 1.0).otherwise(0.0))
+        for r in t.groupBy("method", "n").agg(rate.alias("rate")).collect():
+            rates[r.method][r.n] = r.rate
+        ask = set()
+        for method, known in rates.items():
+            first[method] = high = min((n for n, x in known.items() if x >= power), default=None)
+            if high is not None and (low := max((n for n in known if n < high), default=high)) < high - 1:
+                ask |= {low + (high - low) * k // (STEPS + 1) for k in range(1, STEPS + 1)} - {low}
+    return df.sparkSession.createDataFrame([(m, first.get(m)) for m in rates], "method string, n int")
 
 
 def effective_ratio(width_a: Column, width_b: Column) -> Column:
