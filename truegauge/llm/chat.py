@@ -132,7 +132,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     loss = F.array_join("spans", "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return out.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), hexed(told).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), hexed(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), hexed(told).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), hexed(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "bad_turn"
     )
 
 
@@ -141,13 +141,16 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) x
 ), e AS (
-  SELECT *, length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, lag(role, 1, '^') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
          ELSE 21 + length(role) + length(regexp_replace(role, '[^\\<\[]', '', 'g')) END AS n FROM t
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       sum(n)::BIGINT AS formatted_chars
+       sum(n)::BIGINT AS formatted_chars,
+       coalesce(min(place) FILTER (NOT list_contains(CASE before WHEN '^' THEN ['system', 'user'] WHEN 'system' THEN ['user'] WHEN 'user' THEN ['assistant'] WHEN 'assistant' THEN ['user'] ELSE [] END, role)),
+                CASE WHEN arg_max(role, place) = 'assistant' THEN -1 ELSE count(*) END)::INTEGER AS bad_turn
 FROM e GROUP BY conv_id
 """
