@@ -342,46 +342,6 @@ def test_mixture(spark, none, odd):
 # 8
 
 
-def kneser_ney_by_the_book(counts):
-    """p(gram) for 4-grams of symbols as nested dictionaries would have it."""
-    order = {4: Counter({tuple((g >> (6 * k)) & 63 for k in (3, 2, 1, 0)): n for g, n in counts.items()})}
-    for k in (3, 2, 1):
-        order[k] = Counter(g[1:] for g in order[k + 1])
-
-    def off(k):
-        n = [sum(v == c for v in order[k].values()) for c in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
-        return [min(max(c - (c + 1) * y * n[c] / n[c - 1] if n[c - 1] else c * 0.5, 0), c) for c in (1, 2, 3)]
-
-    offs = {k: off(k) for k in order}
-
-    def p(g):
-        if not g:
-            return 1 / 64
-        k = len(g)
-        same = {h: n for h, n in order[k].items() if h[:-1] == g[:-1]}
-        if not same:
-            return p(g[1:])
-        taken = lambda n: offs[k][min(n, 3) - 1]
-        n = order[k].get(g, 0)
-        return ((n - taken(n) if n else 0) + sum(map(taken, same.values())) * p(g[1:])) / sum(same.values())
-
-    return p
-
-
-def test_kneser_ney(spark):
-    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "ÉTÉ 1999!"]
-    counts = Counter(int(g) for t in texts for g in kneser_ney.grams(t))
-    asked = set(counts) | {int(g) for g in kneser_ney.grams("zebra cats on mats")}
-    table = spark.createDataFrame(list(counts.items()), "gram long, n long")
-    got = {r.gram: r.nll for r in kneser_ney.probabilities(table, spark.createDataFrame([(g,) for g in asked], "gram long")).collect()}
-    p = kneser_ney_by_the_book(counts)
-    for g in asked:
-        assert np.isclose(got[g], -np.log(p(tuple((g >> (6 * k)) & 63 for k in (3, 2, 1, 0)))), rtol=1e-5)
-    ctx = tuple((next(iter(counts)) >> (6 * k)) & 63 for k in (3, 2, 1))
-    assert np.isclose(sum(p((*ctx, s)) for s in range(64)), 1)
-
-
 def test_classifier_keeps_clean_text(spark, duck, odd, none):
     out = QUERIES["op8_quality_classifier"](spark, FOLDER).toPandas()
     labels = duck(FOLDER).execute("SELECT doc_id, quality FROM labels").df()

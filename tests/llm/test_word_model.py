@@ -24,7 +24,8 @@ def test_letters_of_every_script_stay_apart(spark):
 def test_weights_sum_to_kneser_ney(spark):
     trained, asked = ["the cat sat on the mat .", "the dog sat on the log .", "a cat and a dog"], ["the cat sat on a log", "zebra cats on mats .", "a"]
     counts = Counter(int(g) for t in trained for g in kneser_ney.pairs(kneser_ney.numbers(t)))
-    after = Counter(g & 0xFFFFFFFF for g in counts)
+    bits = kneser_ney.WORD_BITS
+    after = Counter(g & (kneser_ney.WORD_NUMBERS - 1) for g in counts)
 
     def offs(table):
         n = [sum(v == c for v in table.values()) for c in (1, 2, 3, 4)]
@@ -37,15 +38,15 @@ def test_weights_sum_to_kneser_ney(spark):
 
     def p(b, c):
         one = ((after[c] - taken(after[c], d1)) if c in after else 0) / total + sum(taken(n, d1) for n in after.values()) / total / (len(after) + 1)
-        same = {g: n for g, n in counts.items() if g >> 32 == b}
+        same = {g: n for g, n in counts.items() if g >> bits == b}
         if not same:
             return one
-        n = counts.get(b << 32 | c, 0)
+        n = counts.get(b << bits | c, 0)
         return ((n - taken(n, d2) if n else 0) + sum(taken(n, d2) for n in same.values()) * one) / sum(same.values())
 
-    table, constant = kneser_ney.weights(spark.createDataFrame([(np.uint64(g).astype(np.int64).item(), n) for g, n in counts.items()], "gram long, n long"))
+    model = kneser_ney.fit(spark.createDataFrame([(t,) for t in trained], "text string").repartition(2), 3)
     texts = spark.createDataFrame([(i, t) for i, t in enumerate([*asked, asked[0]])], "h long, text string")
-    got = {r.h: r for r in kneser_ney.text_scores(texts, table, constant).collect()}
+    got = {r.h: r for r in kneser_ney.text_scores(texts, model).collect()}
     for i, t in enumerate(asked):
         s = [int(x) for x in kneser_ney.numbers(t)]
         assert got[i].n == len(s) - 2
@@ -62,3 +63,18 @@ def test_limit_is_the_quantile_of_held_out_texts(spark):
     spared = [r.doc_id for r in ids.where(f"pmod(xxhash64(doc_id, 'held out'), {kneser_ney.HELD_OUT}) = 0").collect()]
     limit = np.sort(out.perplexity[spared])[int(np.ceil(0.8 * len(spared))) - 1]
     assert 20 < len(spared) < 60 and (out.kept == (out.perplexity <= limit)).all() and not out.kept[spared].all()
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(v), lang) for lang, n in (("en", 301), ("de", 7), (None, 100)) for v in rng.normal(size=n).round(1)]
+    got = {r.lang: r._limit for r in kneser_ney.quantiles(spark.createDataFrame(rows, "_nll double, lang string").repartition(5), ["lang"], 0.9).collect()}
+    assert got == {k: sorted(v for v, l in rows if l == k)[int(np.ceil(0.9 * sum(l == k for _, l in rows))) - 1] for k in ("en", "de", None)}
+
+
+def test_many_trusted_ids_are_joined(spark, monkeypatch):
+    rows = [(i, f"some words {i % 7} and others {i}", "en") for i in range(60)] + [(3, None, "en"), (None, "x y", None)]
+    docs, ids = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    few = sorted(map(str, kneser_ney.classify(docs, ids).collect()))
+    monkeypatch.setattr(kneser_ney, "SENT_IDS", 0)
+    assert sorted(map(str, kneser_ney.classify(docs, ids).collect())) == few
