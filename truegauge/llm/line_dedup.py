@@ -25,8 +25,10 @@ MIN_CHARS = 10
 SLOTS = 4
 #: Shared keys in a shard's filter, on average.
 SHARD_KEYS = 1 << 16
-#: Filters are sent to all executors up to so many bytes; beyond that every posting goes to the exact join.
+#: Filters are sent to all executors up to so many bytes; beyond that, postings are dealt to the filters by shard.
 FILTER_BYTES = 32 << 20
+#: Postings that a shard's task gets then, on average.
+SHARD_POSTINGS = 1 << 20
 #: Keys held by more than 1 / HOT_SHARE of all postings go to all executors: fewer than HOT_SHARE of them can be.
 HOT_SHARE = 1000
 
@@ -98,11 +100,20 @@ class CuckooFilter:
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Take one copy of each key's fingerprint out; only for keys that were inserted."""
-        for mark, *buckets in zip(*self.places(k1, k2), strict=True):
-            for b in buckets:
-                if len(hit := np.flatnonzero(self.table[b] == mark)):
-                    self.table[b, hit[0]] = 0
-                    break
+        mark, first, second = self.places(k1, k2)
+        left = np.arange(len(mark))
+        while len(left):
+            before = len(left)
+            for bucket in (first, second):
+                # of keys with one fingerprint in one bucket, one at a time
+                _, lead = np.unique(bucket[left] << 16 | mark[left], return_index=True)
+                lead = left[lead]
+                slots = self.table[bucket[lead]] == mark[lead, None]
+                some = slots.any(axis=1)
+                self.table[bucket[lead[some]], slots[some].argmax(axis=1)] = 0
+                left = np.setdiff1d(left, lead[some], assume_unique=True)
+            if len(left) == before:
+                return  # these weren't there
 
     def to_bytes(self) -> bytes:
         return self.table.tobytes()
@@ -146,17 +157,18 @@ class LineState:
     refs: DataFrame  # k1, k2, refs, first_doc, shard
     filters: DataFrame  # shard, filter
     n_shards: int
+    held: int  # postings
 
     @classmethod
     def empty(cls, spark: SparkSession) -> LineState:
-        return cls(*(spark.createDataFrame([], s) for s in (POSTING, "k1 long, k2 long, refs long, first_doc long, shard int", "shard int, filter binary")), 1)
+        return cls(*(spark.createDataFrame([], s) for s in (POSTING, "k1 long, k2 long, refs long, first_doc long, shard int", "shard int, filter binary")), 1, 0)
 
     def counted(self, held: DataFrame) -> LineState:
         """The state whose postings are `held` (stored). Filters of shards whose shared keys are unchanged stay as they are."""
         refs = held.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first_doc"))
         refs = stored(refs, "refs")
-        n_shared = refs.where("refs > 1").count()
-        n = max(1, -(-n_shared // SHARD_KEYS))
+        n_shared, n_held = refs.agg(F.count(F.when(F.col("refs") > 1, 1)), F.coalesce(F.sum("refs"), F.lit(0))).first()
+        n = max(1, -(-n_shared // SHARD_KEYS), -(-n_held // SHARD_POSTINGS))
         n_shards = self.n_shards if self.n_shards / 2 <= n <= self.n_shards * 2 else n
         refs = refs.withColumn("shard", shard_of(n_shards))
         schema = "shard int, filter binary"
@@ -166,7 +178,7 @@ class LineState:
             def build(g: pd.DataFrame) -> pd.DataFrame:
                 return pd.DataFrame({"shard": [g.shard.iloc[0]], "filter": [CuckooFilter.build(g.k1.to_numpy(), g.k2.to_numpy()).to_bytes()]})
 
-            return LineState(held, refs, stored(now.groupBy("shard").applyInPandas(build, schema), "filters"), n_shards)
+            return LineState(held, refs, stored(now.groupBy("shard").applyInPandas(build, schema), "filters"), n_shards, n_held)
         before = self.refs.where("refs > 1").select("shard", "k1", "k2", F.lit(True).alias("stale"))
         changed = now.join(before, ["shard", "k1", "k2"], "full").where("fresh IS NULL OR stale IS NULL")
 
@@ -180,8 +192,8 @@ class LineState:
 
         fresh = stored(self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInPandas(update, schema), "filters")
         if fresh.where(F.length("filter") == 0).isEmpty():
-            return LineState(held, refs, fresh, n_shards)
-        return LineState(held, self.refs, fresh.limit(0), n_shards).counted(held)  # a shard has no room: all filters anew from the exact table
+            return LineState(held, refs, fresh, n_shards, n_held)
+        return LineState(held, self.refs, fresh.limit(0), n_shards, n_held).counted(held)  # a shard has no room: all filters anew from the exact table
 
     def insert(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> LineState:
         """With these documents too. A document id that comes again adds its lines to those it has."""
@@ -191,35 +203,63 @@ class LineState:
         """Without the documents of these ids (column doc_id)."""
         return self.counted(stored(self.postings.join(ids.select("doc_id").distinct(), "doc_id", "left_anti"), "postings"))
 
+    def hot(self) -> DataFrame:
+        """(k1, k2, first_doc) of shared keys that hold more than 1 / HOT_SHARE of all postings: fewer than HOT_SHARE rows."""
+        return self.refs.where((F.col("refs") > 1) & (F.col("refs") > self.held // HOT_SHARE)).select("k1", "k2", "first_doc")
+
     def screened(self) -> DataFrame:
-        """The postings that the filters let pass: all of shared keys, and a few others."""
+        """The postings that the filters let pass: all of shared keys, and a few others.
+
+        Filters that are small together go to all executors. Larger ones meet the postings of their shard in one task;
+        postings of hot keys, which the table itself calls shared, aren't dealt out then.
+        """
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > FILTER_BYTES:
-            return self.postings
-        sent = self.postings.sparkSession.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in self.filters.collect()})
+        marked = self.postings.withColumn("shard", shard_of(self.n_shards))
+
+        def passing(k1: np.ndarray, k2: np.ndarray, data: bytes | None) -> np.ndarray:
+            return CuckooFilter.of_bytes(data).contains(k1, k2) if data else np.zeros(len(k1), dtype=bool)
+
+        if size <= FILTER_BYTES:
+            sent = self.postings.sparkSession.sparkContext.broadcast({r.shard: bytes(r["filter"]) for r in self.filters.collect()})
 
-        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            filters = {k: CuckooFilter.of_bytes(v) for k, v in sent.value.items()}
-            for b in batches:
-                hit = np.zeros(len(b), dtype=bool)
-                for shard, at in b.groupby("shard").indices.items():
-                    if shard in filters:
-                        hit[at] = filters[shard].contains(b.k1.to_numpy()[at], b.k2.to_numpy()[at])
-                yield b.loc[hit, ["doc_id", "k1", "k2"]]
+            def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    hit = np.zeros(len(b), dtype=bool)
+                    for shard, at in b.groupby("shard").indices.items():
+                        hit[at] = passing(b.k1.to_numpy()[at], b.k2.to_numpy()[at], sent.value.get(shard))
+                    yield b.loc[hit, ["doc_id", "k1", "k2"]]
 
-        return self.postings.withColumn("shard", shard_of(self.n_shards)).mapInPandas(probe, POSTING)
+            return marked.mapInPandas(probe, POSTING)
+
+        def meet(found: pa.Table, filters: pa.Table) -> pa.Table:
+            data = filters.column("filter")[0].as_py() if filters.num_rows else None
+            hit = passing(found.column("k1").to_numpy(), found.column("k2").to_numpy(), data)
+            return found.select(["doc_id", "k1", "k2"]).filter(pa.array(hit))
+
+        hot = F.broadcast(self.hot().select("k1", "k2"))
+        cold = marked.join(hot, ["k1", "k2"], "left_anti").select("doc_id", "k1", "k2", "shard")
+        met = cold.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(meet, POSTING)
+        return met.union(self.postings.join(hot, ["k1", "k2"], "left_semi").select("doc_id", "k1", "k2"))
 
     def dropped(self) -> DataFrame:
         """(doc_id, _drops): the keys whose lines a document loses to a smaller id."""
         shared = self.refs.where("refs > 1").select("k1", "k2", "refs", "first_doc")
-        least = self.postings.count() // HOT_SHARE
-        hot = shared.where(F.col("refs") > least).select("k1", "k2", "first_doc")  # fewer than HOT_SHARE rows
-        maybe = self.screened()
-        found = maybe.join(F.broadcast(hot.withColumnRenamed("first_doc", "hot_doc")), ["k1", "k2"], "left")
-        cold = found.where("hot_doc IS NULL").join(shared.where(F.col("refs") <= least).drop("refs"), ["k1", "k2"]).where("doc_id > first_doc")
+        found = self.screened().join(F.broadcast(self.hot().withColumnRenamed("first_doc", "hot_doc")), ["k1", "k2"], "left")
+        cold = found.where("hot_doc IS NULL").join(shared.where(F.col("refs") <= self.held // HOT_SHARE).drop("refs"), ["k1", "k2"]).where("doc_id > first_doc")
         lost = found.where("doc_id > hot_doc").select("doc_id", "k1", "k2").union(cold.select("doc_id", "k1", "k2"))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("_drops"))
 
+    def save(self, path: str) -> None:
+        """Write the state under a new folder, to go on from in another session."""
+        for name in ("postings", "refs", "filters"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        self.postings.sparkSession.createDataFrame([(self.n_shards, self.held)], "n_shards int, held long").write.parquet(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LineState:
+        about = spark.read.parquet(f"{path}/about").first()
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "refs", "filters")), about.n_shards, about.held)
+
     def kept(self, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         """docs with kept (the text without the dropped lines, '' for null), n_lines and n_dropped instead of text; all rows stay."""
         rest = free_of(docs, "text", "kept", "n_lines", "n_dropped", "_drops")
@@ -242,7 +282,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     documents hold keeps its lines only in the smallest doc_id.
 
     Null text is one empty line; rows with a null doc_id neither hold keys nor lose lines; rows of the same doc_id
-    are one document; other columns go through.
+    are one document, and every row stays; an empty table gives no rows; other columns go through but for those whose
+    names clash with the new ones.
     """
     state = LineState.empty(docs.sparkSession).insert(docs, min_chars)
     return state.kept(docs, min_chars)
