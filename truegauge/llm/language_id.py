@@ -1,8 +1,9 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-Texts are cut into windows of bytes. Both directions run over a window, every position gets a probability for each
-language from the two states there, and a document's probabilities are the mean over all its positions. Training is
-Adam on the mean cross entropy of positions, the gradient by backpropagation through time.
+Texts are cut into windows of bytes, which overlap their neighbours by a margin that only warms the states up. Both
+directions run over a window, every position within gets a probability for each language from the two states there,
+and a document's probabilities are the mean over all its positions. Training is Adam on the mean cross entropy of
+positions, the gradient by backpropagation through time, over windows of all of the sampled texts.
 
 Gates are (1 + tanh a) / 2, the logistic function of 2 a: one vectorised function does for all of them.
 """
@@ -18,15 +19,16 @@ from pyspark.sql import functions as F
 from .common import documents, free_of, with_columns
 
 HIDDEN = 16
-WINDOW = 64
-#: The model is fitted on so many documents of each language at most, so many windows of each, and so many languages.
-FIT_DOCS = 256
-FIT_WINDOWS = 6
-FIT_LANGUAGES = 128
+#: Bytes of a window when predicting, and of the margin on each side of it.
+WINDOW, MARGIN = 224, 16
+#: The model is fitted on so many rows of each language at most, whole texts, in windows of FIT_WINDOW bytes.
+FIT_DOCS = 128
+FIT_WINDOW = 64
+#: Every window is drawn once at least; a small sample is drawn again up to so many steps, for each 4 languages.
 STEPS = 150
 BATCH = 256
 #: Windows that are run together when predicting.
-TOGETHER = 1024
+TOGETHER = 512
 NONE = "und"
 
 
@@ -145,11 +147,16 @@ class ByteGRU:
             dh = dh * z + dhu @ w["u"].transpose(0, 2, 1)
         return loss, g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 0) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int | None = None, batch: int = BATCH, rate: float = 0.02, seed: int = 0) -> list[float]:
+        """Passes over all windows in random order, until `steps` of them."""
         rng, losses = np.random.default_rng(seed), []
+        steps = steps or max(STEPS * -(-len(self.w["b"]) // 4), -(-len(x) // batch))
         m, v = ({k: np.zeros_like(a) for k, a in self.w.items()} for _ in range(2))
+        left = np.zeros(0, dtype=np.int64)
         for step in range(1, steps + 1):
-            some = rng.choice(len(x), min(batch, len(x)), replace=False)
+            if len(left) < min(batch, len(x)):
+                left = np.concatenate([left, rng.permutation(len(x))])
+            some, left = left[:batch], left[batch:]
             loss, g = self.gradient(x[some], y[some], weight[some])
             losses.append(loss)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
@@ -161,46 +168,36 @@ class ByteGRU:
         return losses
 
 
-def windows(texts: list[bytes], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, owner, length): all of every text, cut into rows of `width` bytes, the last one of a text padded with zeros."""
+def windows(texts: list[bytes], width: int = WINDOW, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows, owner, length): all of every text, cut every `width` bytes into rows of that and a margin on both sides; of the last row of a text only `length` bytes are its own. Zeros lie around a text."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
     rows = -(-size // width)
-    data = np.frombuffer(b"".join(t + b"\0" * (-len(t) % width) for t in texts), dtype=np.uint8).reshape(-1, width)
+    data = np.frombuffer(b"".join(b"\0" * margin + t + b"\0" * (-len(t) % width + margin) for t in texts), dtype=np.uint8)
     owner = np.repeat(np.arange(len(texts)), rows)
-    first = np.cumsum(rows) - rows
-    length = np.minimum(width, size[owner] - (np.arange(len(owner)) - first[owner]) * width)
-    return data, owner, length
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(rows) - rows, rows)
+    begin = np.repeat(np.cumsum(rows * width + 2 * margin) - (rows * width + 2 * margin), rows) + place * width
+    return data[begin[:, None] + np.arange(width + 2 * margin)], owner, np.minimum(width, size[owner] - place * width)
 
 
-def training_windows(docs: DataFrame) -> DataFrame:
-    """(lang, window) of a bounded sample: of each language the documents with the smallest hashes, a few windows of each."""
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'").withColumn("_h", F.xxhash64("doc_id"))
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FIT_LANGUAGES).select("lang")
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id"))
-    some = known.join(F.broadcast(top), "lang").select("lang", "doc_id", "_h").withColumn("_rank", rank).where(F.col("_rank") <= FIT_DOCS).select("doc_id").distinct()
-
-    def cut(b: pa.RecordBatch) -> list:
-        out = []
-        for text, h in zip(b.column("text").to_pylist(), b.column("_h").to_pylist(), strict=True):
-            data = text.encode()
-            rng = np.random.default_rng(abs(h))
-            out.append([data[s : s + WINDOW] for s in rng.integers(0, max(1, len(data) - WINDOW + 1), FIT_WINDOWS)])
-        return [out]
-
-    found = known.join(F.broadcast(some), "doc_id", "left_semi")  # FIT_LANGUAGES * FIT_DOCS ids at most
-    return with_columns(found.select("lang", "text", "_h"), ["lang"], "windows array<binary>", cut).select("lang", F.explode("windows").alias("window"))
+def training_texts(docs: DataFrame) -> DataFrame:
+    """(lang, text) of a bounded sample: of each language the FIT_DOCS rows with the smallest hashes; rows alike in doc_id and text are one."""
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", "_t"))
+    some = known.select("lang", "doc_id", "_h", "_t").distinct().withColumn("_rank", rank).where(F.col("_rank") <= FIT_DOCS)
+    found = known.join(F.broadcast(some.select("lang", "doc_id", "_t")), ["lang", "doc_id", "_t"], "left_semi")  # FIT_DOCS rows of each language
+    return found.dropDuplicates(["lang", "doc_id", "_t"]).select("lang", "text")
 
 
 def fit(docs: DataFrame) -> tuple[ByteGRU | None, list[str]]:
-    """A network fitted on docs (doc_id, text, lang), and its labels; None without labelled text."""
-    rows = sorted((r.lang, bytes(r.window)) for r in training_windows(docs).collect())
+    """A network fitted on docs (doc_id, text, lang), and its labels, all that occur with a text; None without labelled text."""
+    rows = sorted((r.lang, r.text) for r in training_texts(docs).collect())
     labels = sorted({lang for lang, _ in rows})
     if not labels:
         return None, []
-    x, _, length = windows([w for _, w in rows])
-    y = np.searchsorted(labels, [lang for lang, _ in rows])
+    x, owner, length = windows([text.encode() for _, text in rows], FIT_WINDOW, 0)
+    y = np.searchsorted(labels, [lang for lang, _ in rows])[owner]
     model = ByteGRU(len(labels))
-    model.fit(x, y, np.arange(WINDOW) < length[:, None])
+    model.fit(x, y, np.arange(FIT_WINDOW) < length[:, None])
     return model, labels
 
 
@@ -208,10 +205,10 @@ def document_probabilities(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
     """(documents, L): the mean over all positions of each text; texts aren't empty."""
     data, owner, length = windows(texts)
     total = np.zeros((len(texts), len(model.w["b"])))
-    place = np.arange(data.shape[1])[:, None]
+    place = np.arange(WINDOW)[:, None]
     for at in range(0, len(data), TOGETHER):
         rows = slice(at, at + TOGETHER)
-        p = model.probabilities(data[rows])
+        p = model.probabilities(data[rows])[MARGIN : MARGIN + WINDOW]
         p *= (place < length[rows])[:, None]
         np.add.at(total, owner[rows], p.sum(axis=0).T)
     return total / np.array([len(t) for t in texts])[:, None]
@@ -221,7 +218,8 @@ def predict(docs: DataFrame, model: ByteGRU | None, labels: list[str]) -> DataFr
     """docs without text, with lang_pred and score.
 
     A text that is null or has no letter is `und` with score 0, and so is all if there was nothing to learn from.
-    Every row stays and is judged on its own; columns of docs that clash with the new names are left out.
+    Every row stays, repeated ones too, and is judged on its own, over all of its text; an empty table gives no rows;
+    other columns may hold nulls, and those that clash with the new names are left out.
     """
     rest = free_of(docs, "text", "lang_pred", "score")
 
