@@ -19,8 +19,8 @@ from .common import SPACE, discard, documents, free_of, stored
 
 MAX_EPOCHS = 4.0
 SEED = 8191
-#: Rows in a block of a source's permutation, on average.
-BLOCK_ROWS = 1000
+#: Rows in a block of a source's permutation, on average, and the most blocks of a source; beyond, blocks are larger.
+BLOCK_ROWS, MOST_BLOCKS = 1000, 1 << 16
 #: Halvings of the exponent's range in one job, and jobs.
 HALVINGS, JOBS = 5, 6
 #: Up to so many sources, their table goes to all executors; beyond, documents are joined to it by source.
@@ -41,6 +41,11 @@ def n_tokens() -> Column:
     return F.greatest(words, F.lit(1)).cast("long")
 
 
+def place(docs: DataFrame, *salts) -> Column:
+    """A seeded hash of a row's doc_id and text; with it rows stand in a permutation."""
+    return F.xxhash64(*salts, "doc_id", *(["text"] if "text" in docs.columns else []))
+
+
 def mixture(rows: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float | None = None, budget: float | None = None) -> Mixture:
     """The mixture of rows (source, n_tokens).
 
@@ -94,18 +99,19 @@ def mixture(rows: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: flo
 
 
 def mixed(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """docs, each row as often as the mixture repeats it, with n_tokens, epoch (from 0) and order (its place in the epoch's permutation).
+    """docs, each row as often as the mixture repeats it, with n_tokens, epoch (from 0), block and order: sorted by these two, an epoch of a source is a permutation.
 
-    Null sources are a source of their own; a null text counts one token; rows that tie in the permutation (equal
-    doc_ids of one source) share their fate in the broken epoch, which never goes over its budget; an empty table
-    gives no rows. Columns of docs that clash with the new names are left out.
+    Tokens are words here. Null sources are a source of their own; a null text counts one token. The permutation goes
+    by seeded hashes of doc_id and text, null ones included; rows alike in both tie, and share their fate in the broken
+    epoch, which never goes over its budget. Repeated rows are rows like others; an empty table gives no rows. Columns
+    of docs that clash with the new names are left out.
     """
-    rest = free_of(docs, "n_tokens", "epoch", "order", "_h", "_whole", "_blocks", "_cut", "_cut_h", "_n")
-    h = F.xxhash64(F.lit(seed), "doc_id")
+    rest = free_of(docs, "n_tokens", "epoch", "block", "order", "_h", "_whole", "_blocks", "_cut", "_cut_h", "_n")
+    h = place(docs, F.lit(seed))
     rows = stored(docs.select("source", n_tokens().alias("n_tokens"), h.alias("h")), "tokens")
     mix = mixture(rows, max_epochs, entropy, budget)
     whole = F.floor("epochs")
-    sources = stored(mix.sources.select("source", whole.cast("int").alias("_whole"), F.floor((F.col("epochs") - whole) * F.col("tokens")).alias("left"), F.ceil(F.col("rows") / BLOCK_ROWS).alias("_blocks")), "epochs")
+    sources = stored(mix.sources.select("source", whole.cast("int").alias("_whole"), F.floor((F.col("epochs") - whole) * F.col("tokens")).alias("left"), F.least(F.ceil(F.col("rows") / BLOCK_ROWS), F.lit(MOST_BLOCKS)).alias("_blocks")), "epochs")
     sent = F.broadcast if sources.count() <= SENT_SOURCES else lambda x: x
     same = lambda a, b, *more: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in ("source", *more)))
     dealt = rows.alias("r").join(sent(sources).alias("s"), same("r", "s")).select("r.source", "n_tokens", "h", F.pmod("h", "_blocks").alias("block"), "left")
@@ -120,12 +126,14 @@ def mixed(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float
     plan = stored(plan, "plan")
     discard(rows)
     out = docs.select(*rest).withColumn("_h", h).withColumn("_n", n_tokens() if "text" in docs.columns else F.lit(1)).join(sent(plan), F.expr("source <=> _source"))
-    block = F.pmod("_h", "_blocks")
+    block = F.pmod("_h", "_blocks").cast("int")
     broken = (block < F.col("_cut")) | ((block == F.col("_cut")) & (F.col("_h") <= F.coalesce("_cut_h", F.lit(-(2**63)))) & F.col("_cut_h").isNotNull())
     copies = F.col("_whole") + F.when(broken, 1).otherwise(0)
     out = out.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
-    order = F.when(F.col("epoch") < F.col("_whole"), F.xxhash64(F.lit(seed), "epoch", "doc_id")).otherwise(F.col("_h"))
-    return out.select(*rest, F.col("_n").alias("n_tokens"), "epoch", order.alias("order"))
+    # the broken epoch, a source's last, takes blocks in order; whole epochs are dealt anew
+    order = F.when(F.col("epoch") < F.col("_whole"), place(docs, F.lit(seed), "epoch")).otherwise(F.col("_h"))
+    out = out.withColumn("order", order)
+    return out.select(*rest, F.col("_n").alias("n_tokens"), "epoch", F.pmod("order", "_blocks").cast("int").alias("block"), "order")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
