@@ -149,7 +149,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, separator: int = SEPARATOR)
     shift = 1 << 44
     keys = table[:, 0] * shift + table[:, 1]
 
+    sent = docs.sparkSession.sparkContext.broadcast((table, keys))  # as many rows as lengths and ranges of them, not pieces
+
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, keys = sent.value
         for b in batches:
             rank = b.base.to_numpy() + b.nth.to_numpy()
             k = np.searchsorted(keys, b.length.to_numpy() * shift + rank, side="right") - 1
