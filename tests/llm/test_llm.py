@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from truegauge.llm import chat, embedding_dedup, kneser_ney, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding
+from truegauge.llm import components as components_module
 from truegauge.llm.components import components
 from truegauge.llm.queries import ORACLE_SQL, QUERIES
 from truegauge.llm.tiles import roots
@@ -105,6 +106,21 @@ def test_held_out_accuracy(spark, duck):
     assert (held.lang == held.lang_pred).mean() > 0.98
 
 
+def test_windows_overlap_and_cover():
+    texts = [bytes(range(1, 251)) * k for k in (1, 2, 7)] + [b"x"]
+    rows, owner, length = language_id.windows(texts, 50, 4)
+    for i, t in enumerate(texts):
+        assert b"".join(r[4 : 4 + n].tobytes() for r, o, n in zip(rows, owner, length, strict=True) if o == i) == t
+        own = rows[owner == i]
+        assert (own[1:, :4] == own[:-1, 50:54]).all() and (own[:-1, 54:] == own[1:, 4:8]).all() and not own[0, :4].any()
+
+
+def test_training_rows_are_bounded_and_labels_are_not(spark):
+    rows = [(1, f"ein Text {i % 50}", "de") for i in range(3000)] + [(i, "some text", f"l{i % 200}") for i in range(400)]
+    found = language_id.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in found} == {"de": 50} | {f"l{i}": 2 for i in range(200)}
+
+
 def test_language_of_odd_rows(odd, none):
     model, labels = language_id.fit(odd)
     out = language_id.predict(clashing(odd), model, labels).select("doc_id", "lang_pred", "score").toPandas()
@@ -200,6 +216,46 @@ def test_tile_links_are_all():
     want = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 90 * len(np.union1d(sets[a], sets[b]))}
     found = roots(len(sets), *np.array(sorted(got)).T), roots(len(sets), *np.array(sorted(want)).T)
     assert got <= want and (found[0] == found[1]).all() and want
+    tile = ngram_join.Tile(sets, 90)
+    tile.links()
+    assert tile.derived.sum() > 40
+
+
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(3)
+    common, shared = np.arange(100, 122, dtype=np.uint64), np.uint64(50)
+    some = lambda n: rng.choice(common, n, replace=False)
+    # the first set has the shared shingle after two rarer ones, where its list's first entries can't reach 90 % any more
+    sets = [np.r_[np.uint64(1), np.uint64(2), shared, some(17)], *(np.r_[shared, some(19)] for _ in range(60)), *(some(20) for _ in range(60))]
+    tile = ngram_join.Tile([np.sort(x) for x in sets], 90)
+    assert tile.candidates(0).tolist() == [0] and tile.skipped == 1
+
+
+def test_links_come_out_of_tiles(spark, monkeypatch):
+    seen, one = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges) or one(edges))
+    out = ngram_join.op3_ngram_join(spark, "/root/testdata/sf0.1").toPandas()
+    links = seen[-1].toPandas()
+    assert links.derived.sum() > 0 and (~links.derived).sum() > 0
+    sets = pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    size = {d: len(sets_of(t)) for d, t in zip(sets.doc_id, sets.text, strict=True)}
+    assert all(size[d] == n for d, n in zip(out.doc_id, out.n_shingles, strict=True))
+    root = out.set_index("doc_id").component_id
+    assert (root[links.a].to_numpy() == root[links.b].to_numpy()).all()
+
+
+def test_join_with_more_columns(spark):
+    text = [" ".join(f"w{i}" for i in range(k, k + 40)) for k in (0, 1, 100, 200, 300)]
+    rows = [(1, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (4, text[3]), (5, text[2]), (None, text[4] + " x y"), (6, "a b"), (6, ""), (7, "a b"), (2, text[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component_id": F.lit(0), "N_Shingles": F.lit(0), "n": F.lit(5), "s1": F.lit("x"), "_task": F.lit(1), "lang": F.lit(None).cast("string")})
+    out = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.n, r.s1) for r in ngram_join.ngram_join(docs, 3, 90).collect())
+    want = [("1", 38, 1), ("2", 38, 1), ("2", 38, 1), ("3", 38, 3), ("3", 38, 3), ("4", 38, 3), ("5", 38, 3), ("6", 0, 6), ("6", 1, 6), ("7", 1, 6), ("None", 40, None)]
+    assert out == [(*x, 5, "x") for x in want]
+
+
+def test_hot_lists_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LIST", 2)
+    test_near_copies(spark, 3, 90)
 
 
 def test_join_of_odd_rows(odd, none):
@@ -252,6 +308,18 @@ def test_pieces_are_the_tokenizers(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_ids_of_a_whole_table_are_the_tokenizers(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, t = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), path), Tokenizer.from_file(path)
+    texts = pd.read_parquet(f"{FOLDER}/documents.parquet").text.fillna("").tolist()
+    texts += ["".join(np.random.default_rng(i).choice(list("aB  \n\t'é1ß.,s-łñ"), 40)) for i in range(500)]
+    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == e.ids
+
+
 # 5
 
 
@@ -408,10 +476,18 @@ def test_lines_and_their_way_back(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-def test_filters_beyond_their_bound(odd, monkeypatch):
-    want = sorted(map(str, line_dedup.dedup_lines(odd).collect()))
+def test_filters_screen_at_every_size(spark, odd, monkeypatch, tmp_path):
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, "\n".join(f"only in document {i} line {k}" for k in range(20)) + f"\nshared by some {i % 40}") for i in range(200)], "doc_id long, text string"))
+    state = line_dedup.LineState.empty(spark).insert(docs)
+    want, passed = as_kept(state, docs), state.screened().count()
+    assert passed < state.postings.count() / 5
+    monkeypatch.setattr(line_dedup, "SHARD_POSTINGS", 500)
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
-    assert sorted(map(str, line_dedup.dedup_lines(odd).collect())) == want
+    dealt = line_dedup.LineState.empty(spark).insert(docs)
+    assert dealt.n_shards > 5 and as_kept(dealt, docs) == want and dealt.screened().count() < state.postings.count() / 5
+    dealt.save(str(tmp_path / "state"))
+    again = line_dedup.LineState.load(spark, str(tmp_path / "state")).insert(spark.createDataFrame([(1, "shared by some 7")], "doc_id long, text string"))
+    assert as_kept(again, docs.where("doc_id = 1007"))[0][1].endswith("line 19")
 
 
 def test_cuckoo_filter():
@@ -440,6 +516,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("order", ["id", "9999 - id", "id * 7919 % 10007"])
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch, order):
+    rounds, one = [], components_module.contracted
+    monkeypatch.setattr(components_module, "contracted", lambda left, salt: rounds.append(salt) or one(left, salt))
+    chain = spark.range(10_000).selectExpr(f"{order} AS a", order.replace("id", "(id + 1)") + " AS b")
+    got = components(chain, few=10).agg(F.count("node"), F.min("component"), F.max("component")).first()
+    assert got[0] == 10_001 and got[1] == got[2] and 1 < len(rounds) < 20
+
+
 def test_pipeline(spark, none, odd):
     import corpus_pipeline as c
 

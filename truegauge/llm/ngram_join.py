@@ -5,11 +5,11 @@ the first n - ceil(t n) + l of their shingles in any common order; the order her
 documents has counted a shingle, rarest first. The shingles there with two or more sets are index lists.
 
 * Equal sets are one set: their answers are the same.
-* Short lists give pairs, after the bounds on size and position; a pair that doesn't meet l times there, and doesn't
-  meet in a long list, can't link. The others pass a parity-bitmap bound, then are counted.
-* The sets of long lists that share sets form regions, compared tile by tile. In a tile, index lists are cut into
-  blocks by position, skipped whole where no entry can reach the threshold; and where a set differs little from one
-  whose overlaps with all others are known, its own follow from these by the shingles that differ.
+* Index lists say which sets may have to do with each other: those that meet l times in short lists, after the bounds
+  on size and position, or once in a long one. The groups that this connects are regions.
+* A region is compared tile by tile, and every link comes out of a tile: its index lists are cut into blocks by
+  position, skipped whole where no entry can reach the threshold; and where a set differs little from one whose
+  overlaps with all others are known, its own follow from these by the shingles that differ.
 
 A tile reports, for each set, one it is connected with, so no step makes all pairs of a group; documents' classes
 are connected components over the links.
@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import discard, documents, free_of, has_bit, id_bits, id_slot, mix64, short_batches, stored
 from .components import components
@@ -36,12 +38,14 @@ PERCENT = 90
 #: Counters of the sketch that orders shingles, and of slices it travels in. Only speed depends on them.
 SKETCH = 1 << 20
 SLICES = 64
-#: Lists of more sets than this are compared in regions, not as pairs.
+#: Lists of more sets than this connect all of them; in shorter ones sets have to meet MEETINGS times.
 LONG_LIST = 16
+#: A shingle that the sketch has counted oftener than this has its list dealt out to several tasks, by set.
+HOT_LIST = 4096
 #: How often (l) two sets of enough shingles must meet in the index lists.
 MEETINGS = 8
-#: Sets of a region in a block of its tiles.
-BLOCK = 1024
+#: Sets of a region, and their shingles, in a block of its tiles.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 19
 #: Words of 64 bits in the parity bitmap of a set.
 PARITY = 8
 
@@ -116,28 +120,32 @@ def summed_slices(parts: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+INNER = ("_n", "_s1", "_s2", "_task", "_slice", "_counts")
+
+
 def read_sets(docs: DataFrame, words: int) -> DataFrame:
-    """For each document its set's size and identity; and, for each task, slices of the sketch of all its shingles."""
-    schema = "doc_id long, n long, s1 long, s2 long, task int, slice int, counts binary"
+    """The columns of docs but text, with each document's set's size and identity; and, for each task, slices of the sketch of all its shingles."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest] + T._parse_datatype_string("_n long, _s1 long, _s2 long, _task int, _slice int, _counts binary").fields)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sketch, task = np.zeros(SKETCH, dtype=np.uint32), TaskContext.get().partitionId()
-        names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
                 s = shingles(text or "", words)
                 rows.append((len(s), *identity(s)))
                 np.add.at(sketch, s % np.uint64(SKETCH), 1)
-            n, s1, s2 = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
-            none = lambda t, k=len(rows): pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), none(pa.int32()), none(pa.int32()), none(pa.binary())], names=names)
+            found = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+            none = [pa.nulls(len(rows), t) for t in kinds[-3:]]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *map(pa.array, found), *none], schema=pa.schema(list(zip(schema.names, [*(b.column(c).type for c in rest), *kinds[-6:]], strict=True))))
         cut = sketch.reshape(SLICES, -1)
         full = [k for k in range(SLICES) if cut[k].any()]
-        none = pa.nulls(len(full), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([task] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([cut[k].tobytes() for k in full], pa.binary())], names=names)
+        about = [pa.array([task] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([cut[k].tobytes() for k in full], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in kinds[:-3]), *about], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -153,9 +161,9 @@ def first_shingles(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarra
 
 
 def index_entries(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(token, s1, n, pos, doc_id): each set's first shingles in the common order. A task leaves out equal sets that it has just had."""
+    """(token, salts, salt, s1, n, pos): each set's first shingles in the common order; a hot shingle's list is in `salts` parts. A task leaves out equal sets that it has just had."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    names = ["token", "s1", "n", "pos", "doc_id"]
+    names = ["token", "salts", "salt", "s1", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had = set()
@@ -170,34 +178,36 @@ def index_entries(docs: DataFrame, sketch: np.ndarray, words: int, percent: int)
                     had.clear()
                 had.add(key)
                 tokens.append(first_shingles(s, sent.value, percent))
-                rows.append((key[0], len(s), doc, len(tokens[-1])))
-            s1, n, doc, p = np.array(rows, dtype=np.int64).reshape(-1, 4).T
+                rows.append((key[0], len(s), len(tokens[-1])))
+            s1, n, p = np.array(rows, dtype=np.int64).reshape(-1, 3).T
             pos = np.concatenate([np.arange(k) for k in p]) if len(p) else p
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(np.concatenate(tokens)), np.repeat(s1, p), np.repeat(n, p), pos, np.repeat(doc, p))], names=names)
+            token, s1 = np.concatenate(tokens), np.repeat(s1, p)
+            salts = 1 + sent.value[token % np.uint64(SKETCH)].astype(np.int64) // HOT_LIST
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(token), salts, np.mod(s1, salts), s1, np.repeat(n, p), pos)], names=names)
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(s1, n, shingles, parity) of the documents of wanted (doc_id), which a bounded filter picks out before the exact join."""
-    sent = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
+def index_lists(entries: DataFrame) -> DataFrame:
+    """(token, salts, s1, n, pos, first, sets): entries of lists with two sets or more, with a list's first set and its length; a part of a hot list always."""
+    w = W.partitionBy("token", "salt")
+    some = entries.withColumn("_lo", F.min("s1").over(w)).withColumn("_hi", F.max("s1").over(w)).where("_lo < _hi OR salts > 1")
+    once = some.groupBy("token", "salt", "salts", "s1", "n").agg(F.min("pos").alias("pos"))
+    return once.withColumn("first", F.min("s1").over(w)).withColumn("sets", F.count(F.lit(1)).over(w)).drop("salt")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            b = b.take(pa.array(np.flatnonzero(has_bit(sent.value, b.column("slot").to_numpy()))))
-            sets = [shingles(t or "", words) for t in b.column("text").to_pylist()]
-            cols = [b.column("doc_id"), pa.array([identity(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            cols += [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "s1", "n", "shingles", "parity"])
 
-    found = docs.where("doc_id IS NOT NULL").withColumn("slot", id_slot()).mapInArrow(run, "doc_id long, s1 long, n long, shingles binary, parity binary")
-    # rows of one doc_id may differ in text, hence both keys
-    return found.join(wanted, ["doc_id", "s1"], "left_semi").drop("doc_id").dropDuplicates(["s1"])
+def long_lists(index: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the sets of each long list; parts of hot lists are connected by their first sets."""
+    stars = index.where(f"salts > 1 OR sets > {LONG_LIST}").where("s1 <> first").select(F.col("s1").alias("a"), F.col("first").alias("b"))
+    parts = index.where("salts > 1").groupBy("token", F.col("first").alias("a")).agg(F.lit(1))
+    ends = parts.groupBy("token").agg(F.min("a").alias("b"))
+    return stars.union(parts.join(ends, "token").where("a <> b").select("a", "b"))
 
 
-def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def short_list_pairs(index: DataFrame, percent: int) -> DataFrame:
     """(a, b): sets that meet often enough in short lists."""
-    a, b = entries.alias("a"), entries.alias("b")
+    short = index.where(f"salts = 1 AND sets <= {LONG_LIST}")
+    a, b = short.alias("a"), short.alias("b")
     least = f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"
     bounds = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos) >= {least}"
     met = a.join(b, F.expr(f"a.token = b.token AND a.s1 < b.s1 AND {bounds}")).groupBy(F.col("a.s1").alias("a"), F.col("b.s1").alias("b"))
@@ -205,26 +215,35 @@ def short_list_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return counted.where(f"times >= least({MEETINGS}, ({percent} * n + 99) div 100)").select("a", "b")
 
 
-def links_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    side = lambda name, *cols: sets.select(F.col("s1").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+def placed_sets(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(s1, s2, doc_id, region, cell, block, blocks): the sets that regions hold, one document of each, and the tiles they go to.
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            x, y = (np.frombuffer(b"".join(g[c]), dtype=np.uint64).reshape(-1, PARITY) for c in ("parity_a", "parity_b"))
-            apart, n, m = np.bitwise_count(x ^ y).sum(axis=1), g.n_a.to_numpy(), g.n_b.to_numpy()
-            yield g.loc[apart <= n + m - 2 * need(n, m, percent), ["a", "b"]]
+    Small regions share cells, so that a task gets many of them; large ones are cut into blocks by sets and shingles.
+    """
+    regions = components(edges)
+    member = classes.join(regions.select(F.col("node").alias("s1"), F.col("component").alias("region")), "s1")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = stored(member.groupBy("region").agg(blocks.alias("blocks"), F.sum("n").alias("all")), "regions")
+    cells = max(8, -(-(sizes.agg(F.sum("all")).first()[0] or 0) // BLOCK_SHINGLES))
+    cell = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("region"), F.lit(cells))).otherwise(F.xxhash64("region"))
+    block = F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int")
+    return member.join(sizes, "region").select("s1", "s2", F.col("first").alias("doc_id"), "region", cell.alias("cell"), block.alias("block"), "blocks")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            pair = zip(g.shingles_a, g.shingles_b, strict=True)
-            both = [len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True)) for x, y in pair]
-            n, m = (g[c].str.len().to_numpy() // 8 for c in ("shingles_a", "shingles_b"))
-            yield g.loc[np.array(both, dtype=np.int64) >= need(n, m, percent), ["a", "b"]]
 
-    some = pairs.join(side("a", "n", "parity"), "a").join(side("b", "n", "parity"), "b").mapInPandas(near, "a long, b long")
-    some = stored(some, "near")
-    return some.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").mapInPandas(counted, "a long, b long")
+def wanted_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """wanted with the shingles of its documents' texts, which a bounded filter picks out before the exact join; each set once."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_bits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.take(pa.array(np.flatnonzero(has_bit(sent.value, b.column("slot").to_numpy()))))
+            sets = [shingles(t or "", words) for t in b.column("text").to_pylist()]
+            both = np.array([identity(s) for s in sets], dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, both), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "s1", "s2", "shingles"])
+
+    found = docs.where("doc_id IS NOT NULL").withColumn("slot", id_slot()).mapInArrow(run, "doc_id long, s1 long, s2 long, shingles binary")
+    # rows of one doc_id may differ in text, hence all three keys
+    return found.join(wanted, ["s1", "s2", "doc_id"]).dropDuplicates(["s1", "s2"])
 
 
 class Tile:
@@ -232,8 +251,8 @@ class Tile:
 
     #: Entries of an index list in a block.
     ENTRIES = 32
-    #: So many candidates, and counting the overlaps with all sets at once is cheaper.
-    MANY = 16
+    #: With more candidates than this, the overlaps with all sets are counted at once, and others may derive theirs from them.
+    MANY = 2
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.size = percent, np.array([len(s) for s in sets])
@@ -255,9 +274,14 @@ class Tile:
         self.bits = np.stack([parity(r.astype(np.uint64)) for r in self.ranks])
         self.leaders: list[int] = []
         self.known: list[np.ndarray] = []
+        self.derived = np.zeros(len(sets), dtype=bool)
+        self.skipped = 0
 
-    def holding(self, rank: int) -> np.ndarray:
-        return self.holders[self.begin[rank] : self.begin[rank + 1]]
+    def counted(self, ranks: np.ndarray) -> np.ndarray:
+        """For every set, how many of these shingles it holds, by the shingles' index lists."""
+        n = self.begin[ranks + 1] - self.begin[ranks]
+        at = np.repeat(self.begin[ranks] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.holders[at], minlength=len(self.size))
 
     def candidates(self, x: int) -> np.ndarray:
         """Sets that share a first shingle of x at positions that still allow the overlap; blocks that don't are skipped."""
@@ -270,6 +294,7 @@ class Tile:
                 m = self.size[who]
                 most = 1 + min(pos, q[-1]) + min(n - pos - 1, (m.max() - q[0] - 1))
                 if most < need(n, m.min(), self.percent):
+                    self.skipped += 1
                     continue  # the whole block
                 fits = (1 + np.minimum(pos, q) + np.minimum(n - pos - 1, m - q - 1) >= need(n, m, self.percent)) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
                 found.append(who[fits])
@@ -287,12 +312,8 @@ class Tile:
         more, less = np.setdiff1d(mine, its, assume_unique=True), np.setdiff1d(its, mine, assume_unique=True)
         if 2 * (len(more) + len(less)) > len(mine):
             return None
-        out = self.known[k].copy()
-        for r in more:
-            out[self.holding(r)] += 1
-        for r in less:
-            out[self.holding(r)] -= 1
-        return out
+        self.derived[x] = True
+        return self.known[k] + self.counted(more) - self.counted(less)
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of linked sets, each once or twice."""
@@ -303,7 +324,7 @@ class Tile:
             else:
                 near = self.candidates(x)
                 if len(near) > self.MANY:
-                    both = np.bincount(np.concatenate([self.holding(r) for r in self.ranks[x]]), minlength=len(self.size))
+                    both = self.counted(self.ranks[x])
                     self.leaders.append(x)
                     self.known.append(both)
                     hit = np.flatnonzero(both >= need(self.size[x], self.size, self.percent))
@@ -314,21 +335,19 @@ class Tile:
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def long_list_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): linked sets that meet in a long list, or at least a path of them."""
-    first = F.min("s1").over(W.partitionBy("token"))
-    regions = components(entries.select(F.col("s1").alias("a"), first.alias("b")))
-    regions = stored(regions.select(F.col("node").alias("s1"), F.col("component").alias("region")), "regions")
-    blocks = regions.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = sets.select("s1", "shingles").join(regions.join(blocks, "region"), "s1").withColumn("block", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int"))
+def region_links(placed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, derived): documents a, with a document b that they are linked with directly or by a path; derived: whether a's answers came from a similar set's."""
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
-        s1 = g.s1.to_numpy()
-        i, j = Tile([np.frombuffer(x, dtype=np.uint64) for x in g.shingles], percent).links()
-        root = roots(len(g), i, j)
-        return pd.DataFrame({"a": s1, "b": s1[root]})[root != np.arange(len(g))]
+        out = []
+        for at in g.groupby("region").indices.values():
+            doc, tile = g.doc_id.to_numpy()[at], Tile([np.frombuffer(x, dtype=np.uint64) for x in g.shingles.to_numpy()[at]], percent)
+            root = roots(len(at), *tile.links())
+            rest = root != np.arange(len(at))
+            out.append(pd.DataFrame({"a": doc[rest], "b": doc[root[rest]], "derived": tile.derived[rest]}))
+        return pd.concat(out)
 
-    return tiled(placed).groupBy("region", "lo", "hi").applyInPandas(compare, "a long, b long")
+    return tiled(placed).groupBy("cell", "lo", "hi").applyInPandas(compare, "a long, b long, derived boolean")
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -337,35 +356,37 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     Words are split at the contract's white space and A-Z lower-cased; a document with fewer than `words` words has
     the whole sequence as its one shingle, and one without any (or with null text) has none and links with nothing.
     A row with a null doc_id has its n_shingles, no component and no links. Rows of one doc_id are one document in
-    components, whatever their texts; every row comes back; columns that clash with the new names are left out; an
-    empty table gives no rows. Shingles are told apart by 64-bit hashes, equal sets by 128 bits.
+    components, whatever their texts, but each has its own n_shingles; every row comes back, repeated ones too;
+    columns that clash with the new names are left out; an empty table gives no rows. Shingles are told apart by
+    64-bit hashes, equal sets by 128 bits.
     """
+    rest = free_of(docs, "doc_id", "text", "n_shingles", "component_id", *INNER)
     texts = short_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    read = stored(read_sets(texts, words), "sets")
-    ids = read.where("task IS NULL").select("doc_id", "n", "s1", "s2")
-    sketch = summed_slices(read.where("task IS NOT NULL").select("task", "slice", "counts"))
-    w = W.partitionBy("token")
-    entries = index_entries(texts, sketch, words, percent).withColumn("_lo", F.min("s1").over(w)).withColumn("_hi", F.max("s1").over(w)).where("_lo < _hi")
-    entries = entries.groupBy("token", "s1").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("doc_id").alias("doc_id"))
-    entries = stored(entries.withColumn("sets", F.count(F.lit(1)).over(w)), "index")
-    pairs = stored(short_list_pairs(entries.where(F.col("sets") <= LONG_LIST), percent), "pairs")
-    long = stored(entries.where(F.col("sets") > LONG_LIST).select("token", "s1"), "long")
-    of_pairs = pairs.select(F.explode(F.array("a", "b")).alias("s1"))
-    wanted = entries.groupBy("s1").agg(F.min("doc_id").alias("doc_id")).join(of_pairs.union(long.select("s1")).distinct(), "s1", "left_semi")
-    sets = stored(wanted_sets(texts, stored(wanted, "wanted"), words), "candidates")
-    discard(entries)
-    links = stored(links_of(pairs, sets, percent).union(long_list_links(long, sets, percent)), "links")
-    parts = stored(components(links), "parts")
-    discard(sets)
-    # the class of a set is named by its identity; a link joins classes by s1
-    classes = ids.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    named = classes.join(parts.select(F.col("node").alias("s1"), F.col("component").alias("linked")), "s1", "left")
-    linked = named.where("linked IS NOT NULL")
-    least = linked.groupBy("linked").agg(F.min("first").alias("component_id"))
-    of_class = linked.join(least, "linked").select("s1", "s2", "component_id").union(named.where("linked IS NULL AND first < last").select("s1", "s2", "first"))
-    out = ids.join(of_class, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    rest = free_of(docs, "doc_id", "text", "n_shingles", "component_id")
-    return out if not rest else docs.select("doc_id", *rest).join(out.dropDuplicates(["doc_id"]), "doc_id", "left")
+    read = stored(read_sets(short_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *rest, "text")), words), "sets")
+    rows = read.where("_task IS NULL")
+    ids = rows.select("doc_id", F.col("_n").alias("n"), F.col("_s1").alias("s1"), F.col("_s2").alias("s2")).where("doc_id IS NOT NULL")
+    sketch = summed_slices(read.where("_task IS NOT NULL").select(*(F.col(f"_{c}").alias(c) for c in ("task", "slice", "counts"))))
+    index = stored(index_lists(index_entries(texts, sketch, words, percent)), "index")
+    edges = stored(short_list_pairs(index, percent).union(long_lists(index)), "near")
+    discard(index)
+    classes = stored(ids.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n")), "classes")
+    wanted = stored(placed_sets(classes, edges), "wanted")
+    links = region_links(wanted_sets(texts, wanted, words), percent)
+    # documents whose rows differ in text are in several classes
+    several = ids.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("one"), F.max(F.struct("s1", "s2")).alias("other")).where("one <> other").select("doc_id")
+    several = stored(ids.where("n > 0").join(several, "doc_id").distinct().join(classes.select("s1", "s2", "first"), ["s1", "s2"]).select("doc_id", "first"), "several")
+    links = stored(links.select("a", "b", "derived").union(several.select("doc_id", "first", F.lit(False))), "links")
+    parts = components(links)
+    discard(edges, wanted)
+    # only rows of classes that are linked, or that several documents are in, can have another component than their own
+    named = classes.join(parts.select(F.col("node").alias("first"), "component"), "first", "left").where("component IS NOT NULL OR first < last")
+    named = named.select(F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("component", "first").alias("_linked"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("_linked", "doc_id"))
+    out = rows.join(named, ["_s1", "_s2"], "left").select("doc_id", *rest, F.col("_n").alias("n_shingles"), own.alias("component_id"))
+    if several.isEmpty():
+        return out
+    again = several.join(parts, F.col("first") == F.col("node")).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("component").alias("_whole"))
+    return out.join(again, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", *rest, "n_shingles", F.coalesce("_whole", "component_id").alias("component_id"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
