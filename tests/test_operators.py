@@ -188,13 +188,14 @@ def test_bootstrap_covers_and_repeats(df):
     assert np.isclose(a.estimate, exact.estimate) and abs(a.lower - exact.lower) < 0.1 and abs(a.upper - exact.upper) < 0.1
     with pytest.raises(ValueError, match="more than 10 rows"):
         resample.bootstrap_ci(df, np.mean, "y", "f", most_rows=10)
-    p = resample.poisson_mean_ci(df, "y", "f").first()
+    p = resample.poisson_mean_ci(df, "y", "f", "id").first()
     assert abs(p.estimate - mean.mean_ci(df, "y", "f", lam=1.0).first().estimate) < 0.1
 
 
-def test_isotonic():
-    at, level = baselines.isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([1.0, 3, 2, 5, 7]))
-    assert list(at) == [1, 2, 3, 4] and list(level) == [1, 2.5, 2.5, 6]
+def test_isotonic(spark):
+    rows = [(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (4.0, 5.0), (4.0, 7.0), (2.5, None), (3.5, None), (0.0, None), (9.0, None)]
+    out = {r.f: r.v for r in baselines.recalibrated(spark.createDataFrame(rows, "f double, y double"), "y", "f", "f").collect()}
+    assert np.allclose([out[f] for f in (1, 2, 3, 4, 2.5, 3.5, 0, 9)], [1, 2.5, 2.5, 6, 2.5, 4.25, 1, 6])
 
 
 def test_weighted_sample_and_shift(df):

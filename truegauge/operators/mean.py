@@ -1,16 +1,12 @@
-"""Rectified and classical means: one aggregation by group, and a little arithmetic on its moments."""
+"""Rectified and classical means: one aggregation of central moments by group, and arithmetic on their columns."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import interval, p_value
-from ..plans.roles import by_names, checked, column, finished, listed
-
-MOMENTS = ("ma", "mb", "mu", "va", "vb", "vu", "ab")
-WEIGHTED = ("aw", "bw", "uw")
+from ..plans.roles import by_names, checked, column, listed
 
 
 def _moments(df: DataFrame, y: list, yhat: list, w, by: list) -> DataFrame:
@@ -32,49 +28,60 @@ def _moments(df: DataFrame, y: list, yhat: list, w, by: list) -> DataFrame:
     return t.groupBy(*by).agg(*out) if by else t.agg(*out)
 
 
-def _tuned(r: dict, d: int, weighted: bool, lam, clip: bool, mode: str, coord: int | None) -> list[tuple]:
-    """(coord, n, n_unlabeled, lam, estimate, se) from a row of moments; one without labels gives none."""
-    n, big = r["n"], r["n_unlabeled"]
-    if not n:
-        return []
-    m = {k: np.array([0.0 if x is None or x != x else x for x in (r[f"{k}{j}"] for j in range(d))]) for k in MOMENTS + (WEIGHTED if weighted else ())}
-    s, t = (n / r["w_l"], big / r["w_u"] if big else 0.0) if weighted else (1.0, 1.0)
-    if lam is None and big:
-        theta = t * m["mu"] + s * (m["ma"] - m["mb"])
-        cross, vl, vu = m["ab"], m["vb"], m["vu"]
-        if weighted:
-            cross = cross - theta * (m["aw"] + m["bw"]) + theta**2 * r["vw"]
-            vl = vl - 2 * theta * m["bw"] + theta**2 * r["vw"]
-            vu = vu - 2 * theta * m["uw"] + theta**2 * r["vwu"]
-        apart = s * m["mb"] - t * m["mu"]
-        pooled = (n * s * s * vl + big * t * t * vu + n * big / (n + big) * apart**2) / (n + big - 1)
-        lams = tune(s * s * cross, (1 + n / big) * pooled, mode, coord, clip)
-    else:
-        lams = np.broadcast_to(np.asarray(lam if big else 0.0, dtype=float), d)
-    estimate = lams * t * m["mu"] + s * (m["ma"] - lams * m["mb"])
-    spread = (lams * t) ** 2 * m["vu"] / max(big, 1) + s * s * (m["va"] + lams**2 * m["vb"] - 2 * lams * m["ab"]) / n
-    return list(zip(range(d), [n] * d, [big] * d, lams, estimate, np.sqrt(np.maximum(spread, 0)), strict=True))
-
-
-def tune(cross: np.ndarray, spread: np.ndarray, mode: str, coord: int | None, clip: bool) -> np.ndarray:
-    """Weights of predictions for each coordinate, where spread is 0 none."""
+def _weights(d: int, given: bool, lam, clip: bool, mode: str, coord: int | None) -> list[Column]:
+    """The weight of predictions for each coordinate, from a row of moments."""
+    m = lambda name, k: F.coalesce(F.nanvl(F.col(f"{name}{k}"), F.lit(0.0)), F.lit(0.0))
+    n, big = F.col("n").cast("double"), F.col("n_unlabeled").cast("double")
+    if lam is not None:
+        fixed = list(lam) if hasattr(lam, "__len__") else [lam] * d
+        return [F.when(big > 0, F.lit(float(x))).otherwise(0.0) for x in fixed]
+    s, t = _scales(given)
+    cross, spread = [], []
+    for k in range(d):
+        c, vl, vu = m("ab", k), m("vb", k), m("vu", k)
+        if given:  # gradients are w (y - theta), theta being the estimate at weight 1
+            theta = t * m("mu", k) + s * (m("ma", k) - m("mb", k))
+            vw, vwu = F.coalesce("vw", F.lit(0.0)), F.coalesce("vwu", F.lit(0.0))
+            c = c - theta * (m("aw", k) + m("bw", k)) + theta * theta * vw
+            vl = vl - 2 * theta * m("bw", k) + theta * theta * vw
+            vu = vu - 2 * theta * m("uw", k) + theta * theta * vwu
+        apart = s * m("mb", k) - t * m("mu", k)
+        pooled = (n * s * s * vl + big * t * t * vu + n * big / (n + big) * apart * apart) / (n + big - 1)
+        cross.append(s * s * c)
+        spread.append((1 + n / big) * pooled)
     if mode == "overall":
-        some = slice(None) if coord is None else [coord]
-        cross, spread = (np.full(len(cross), x[some].sum()) for x in (cross, spread))
+        some = range(d) if coord is None else [coord]
+        cross, spread = ([sum((x[k] for k in some), F.lit(0.0))] * d for x in (cross, spread))
     elif mode != "element":
         raise ValueError("mode must be overall or element")
-    lams = np.divide(cross, spread, out=np.zeros(len(cross)), where=spread != 0)
-    return np.clip(lams, 0, 1) if clip else lams
+    lams = [F.when((big > 0) & (v != 0), c / v).otherwise(0.0) for c, v in zip(cross, spread, strict=True)]
+    return [F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) for x in lams] if clip else lams
+
+
+def _scales(given: bool) -> tuple[Column, Column]:
+    """What makes weights have mean 1, on labelled and on other rows."""
+    if not given:
+        return F.lit(1.0), F.lit(1.0)
+    return F.col("n") / F.col("w_l"), F.coalesce(F.col("n_unlabeled") / F.nullif(F.col("w_u"), F.lit(0.0)), F.lit(0.0))
 
 
 def _estimated(df, y, yhat, by, lam, coord, w, mode, clip) -> DataFrame:
+    """(by, coord, n, n_unlabeled, lam, estimate, se): arithmetic on each group's row of moments; a group without labels gives none."""
     y, yhat = listed(y), listed(yhat)
     if len(y) != len(yhat):
         raise ValueError("y and yhat must be as many")
     df, names = by_names(df, by)
-    m = _moments(df, y, yhat, w, names)
-    schema = "coord int, n long, n_unlabeled long, lam double, estimate double, se double"
-    return finished(m, names, schema, lambda r: _tuned(r, len(y), w is not None, lam, clip, mode, coord))
+    d, given = len(y), w is not None
+    told = _moments(df, y, yhat, w, names).where("n > 0").withColumns({f"_lam{k}": x for k, x in enumerate(_weights(d, given, lam, clip, mode, coord))})
+    m = lambda name, k: F.coalesce(F.nanvl(F.col(f"{name}{k}"), F.lit(0.0)), F.lit(0.0))
+    (s, t), out = _scales(given), []
+    for k in range(d):
+        x = F.col(f"_lam{k}")
+        estimate = x * t * m("mu", k) + s * (m("ma", k) - x * m("mb", k))
+        spread = x * x * t * t * m("vu", k) / F.greatest(F.col("n_unlabeled"), F.lit(1)) + s * s * (m("va", k) + x * x * m("vb", k) - 2 * x * m("ab", k)) / F.col("n")
+        out.append(F.struct(F.lit(k).alias("coord"), x.alias("lam"), estimate.alias("estimate"), F.sqrt(F.greatest(spread, F.lit(0.0))).alias("se")))
+    rows = told.select(*names, "n", "n_unlabeled", F.explode(F.array(*out)).alias("_r"))
+    return rows.select(*names, "_r.coord", "n", "n_unlabeled", "_r.lam", "_r.estimate", "_r.se")
 
 
 def mean_estimate(df: DataFrame, y, yhat, by=(), lam=None, coord=None, w=None, mode="overall") -> DataFrame:

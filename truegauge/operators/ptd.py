@@ -1,4 +1,8 @@
-"""Predict-then-debias: bootstrap of a fit to truth, to predictions of the same rows, and to predictions of other rows."""
+"""Predict-then-debias: bootstrap of a fit to truth, to predictions of the same rows, and to predictions of other rows.
+
+Linear and logistic fits are resampled by weights of rows (see resample), so rows stay where they are; a logistic fit
+takes a pass for each Newton step, of all replicates at once. Other algorithms need the sample in one place.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,54 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ..plans.roles import listed
-from .resample import MOST_ROWS, generator, logit, replicates, samples, solved
+from ..plans.roles import column, listed
+from .resample import MOST_ROWS, WHOLE, generator, keyed, least_squares, pair_products, replicate_sums, replicates, samples, symmetric
 
 SCHEMA = "coord int, tuning double, estimate double, lower double, upper double"
+STEPS, TOLERANCE = 40, 1e-9
+
+
+def parts_of(m: np.ndarray, k: int, weighted: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(covariates, response, weight) of the three fits, from rows of (truth.., predicted.., weight); the weight is 0 where a row isn't in a fit."""
+    known, w = ~np.isnan(m[:, 0]), m[:, 2 * k] if weighted else np.ones(len(m))
+    truth, predicted = np.nan_to_num(m[:, :k]), m[:, k : 2 * k]
+    return [(a[:, 1:], a[:, 0], w * on) for a, on in ((truth, known), (predicted, known), (predicted, ~known))]
+
+
+def linear_replicates(t: DataFrame, k: int, weighted: bool, replicate: np.ndarray, seed: int) -> np.ndarray:
+    """(replicates, 3, k - 1): weighted least squares."""
+    fit = least_squares(k - 1)
+    sums = replicate_sums(t, seed, replicate, lambda m, w: w.T @ np.concatenate([fit.features(x, v) * own[:, None] for x, v, own in parts_of(m, k, weighted)], axis=1))
+    return fit.finish(sums.reshape(len(replicate), 3, -1))
+
+
+def logistic_replicates(t: DataFrame, k: int, weighted: bool, replicate: np.ndarray, seed: int) -> np.ndarray:
+    """(replicates, 3, k - 1): logistic regressions of responses in [0, 1]."""
+    d, t = k - 1, t.persist(StorageLevel.MEMORY_AND_DISK)
+    theta = np.zeros((len(replicate), 3, d))
+    for _ in range(STEPS):
+
+        def fn(m: np.ndarray, w: np.ndarray, at=theta) -> np.ndarray:
+            out = []
+            for j, (x, v, own) in enumerate(parts_of(m, k, weighted)):
+                mu = 1 / (1 + np.exp(-np.clip(x @ at[:, j].T, -35, 35)))
+                out += [(w * own[:, None] * (mu - v[:, None])).T @ x, (w * own[:, None] * mu * (1 - mu)).T @ pair_products(x)]
+            return np.concatenate(out, axis=1)
 
+        s = replicate_sums(t, seed, replicate, fn).reshape(len(replicate), 3, -1)
+        step = (np.linalg.pinv(symmetric(s[..., d:], d), hermitian=True) @ s[..., :d, None])[..., 0]
+        theta = theta - np.clip(step, -4, 4)
+        if np.abs(step).max() < TOLERANCE:
+            break
+    t.unpersist()
+    return theta
 
-def ptd(df: DataFrame, algorithm: Callable, truth: list, predicted: list, w=None, n_resamples=2000, alpha=0.05, tuning="optimal_diagonal", seed=0, most_rows=MOST_ROWS) -> DataFrame:
-    """Intervals for algorithm(data, weights), a vector of coefficients.
+
+def ptd(df: DataFrame, algorithm: Callable | str, truth: list, predicted: list, w=None, n_resamples=2000, alpha=0.05, tuning="optimal_diagonal", seed=0, most_rows=MOST_ROWS, key=None) -> DataFrame:
+    """Intervals for `linear` or `logistic` coefficients, which need a key column, or those of a function of (data, weights).
 
     truth are columns, the first of which is null on rows without truth; predicted are their stand-ins, on all rows.
     Labelled and other rows are resampled from one pool, so how many labelled ones a replicate has varies. tuning is
@@ -23,47 +66,46 @@ def ptd(df: DataFrame, algorithm: Callable, truth: list, predicted: list, w=None
     if tuning not in ("optimal", "optimal_diagonal", None):
         raise ValueError("tuning must be optimal, optimal_diagonal or None")
     spark, k = df.sparkSession, len(truth)
-    filled = df
-    for j, c in enumerate(truth[1:], 1):  # only the first tells truth from prediction; elsewhere a missing truth isn't used
-        filled = filled.withColumn(f"_t{j}", _or(c))
-    known, other = samples(filled, [*[f"_t{j}" for j in range(1, k)], *predicted, *([w] if w is not None else [])], truth[0], most_rows)
-    sent = spark.sparkContext.broadcast((known, other))
-
-    def three(a: np.ndarray, u: np.ndarray) -> np.ndarray:
-        wa, wu = (a[:, 2 * k], u[:, 2 * k]) if w is not None else (None, None)
-        return np.concatenate([algorithm(a[:, :k], wa), algorithm(a[:, k : 2 * k], wa), algorithm(u[:, k : 2 * k], wu)])
-
-    whole = three(known, other)
-    d = len(whole) // 3
-
-    def one(b: int) -> np.ndarray:
-        a, u = sent.value
-        pick = generator(seed, b).integers(0, len(a) + len(u), len(a) + len(u))
-        return three(a[pick[pick < len(a)]], u[pick[pick >= len(a)] - len(a)])
-
-    v = replicates(spark, n_resamples, one, 3 * d)
+    # only the first tells truth from prediction; elsewhere a missing truth isn't used
+    filled = df.withColumns({f"_t{j}": F.coalesce(column(c).cast("double"), F.lit(0.0)) for j, c in enumerate(truth[1:], 1)})
+    columns = [*[f"_t{j}" for j in range(1, k)], *predicted, *([w] if w is not None else [])]
+    if isinstance(algorithm, str):
+        t = keyed(filled, key, [truth[0]], columns)
+        fits = {"linear": linear_replicates, "logistic": logistic_replicates}[algorithm](t, k, w is not None, np.r_[WHOLE, 1 + np.arange(n_resamples)], seed)
+        d = fits.shape[-1]
+        whole, v = fits[0].ravel(), fits[1:].reshape(n_resamples, -1)
+    else:
+        known, other = samples(filled, columns, truth[0], most_rows)
+        sent = spark.sparkContext.broadcast((known, other))
+
+        def three(a: np.ndarray, u: np.ndarray) -> np.ndarray:
+            wa, wu = (a[:, 2 * k], u[:, 2 * k]) if w is not None else (None, None)
+            return np.concatenate([algorithm(a[:, :k], wa), algorithm(a[:, k : 2 * k], wa), algorithm(u[:, k : 2 * k], wu)])
+
+        def one(b: int) -> np.ndarray:
+            a, u = sent.value
+            pick = generator(seed, b).integers(0, len(a) + len(u), len(a) + len(u))
+            return three(a[pick[pick < len(a)]], u[pick[pick >= len(a)] - len(a)])
+
+        whole = three(known, other)
+        d = len(whole) // 3
+        v = replicates(spark, n_resamples, one, 3 * d)
     cov = np.cov(v.T)
     cross, spread = cov[:d, d : 2 * d], cov[d : 2 * d, d : 2 * d] + cov[2 * d :, 2 * d :]
-    matrix = np.eye(d) if tuning is None else cross @ np.linalg.inv(spread) if tuning == "optimal" else np.diag(np.diag(cross) / np.diag(spread))
-    debiased = lambda c: c[..., 2 * d :] @ matrix.T + c[..., :d] - c[..., d : 2 * d] @ matrix.T
+    tuned = np.eye(d) if tuning is None else cross @ np.linalg.inv(spread) if tuning == "optimal" else np.diag(np.diag(cross) / np.diag(spread))
+    debiased = lambda c: c[..., 2 * d :] @ tuned.T + c[..., :d] - c[..., d : 2 * d] @ tuned.T
     estimate, low, high = debiased(whole), *np.quantile(debiased(v), [alpha / 2, 1 - alpha / 2], axis=0)
-    return spark.createDataFrame([(j, float(matrix[j, j]), float(estimate[j]), float(low[j]), float(high[j])) for j in range(d)], SCHEMA)
-
-
-def _or(c):
-    from pyspark.sql import functions as F
-
-    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(0.0))
+    return spark.createDataFrame([(j, float(tuned[j, j]), float(estimate[j]), float(low[j]), float(high[j])) for j in range(d)], SCHEMA)
 
 
 def ptd_linear(df: DataFrame, x, xhat, y, yhat, w=None, **more) -> DataFrame:
     """Linear regression where covariates may be predicted too (xhat; x where they aren't)."""
-    return ptd(df, lambda a, wt: solved(a[:, 1:], a[:, 0], wt), [y, *listed(x)], [yhat, *listed(xhat)], w, **more)
+    return ptd(df, "linear", [y, *listed(x)], [yhat, *listed(xhat)], w, **more)
 
 
 def ptd_logistic(df: DataFrame, x, xhat, y, yhat, w=None, **more) -> DataFrame:
     """Logistic regression likewise."""
-    return ptd(df, lambda a, wt: logit(a[:, 1:], a[:, 0], wt), [y, *listed(x)], [yhat, *listed(xhat)], w, **more)
+    return ptd(df, "logistic", [y, *listed(x)], [yhat, *listed(xhat)], w, **more)
 
 
 def ptd_quantile(df: DataFrame, q: float, y, yhat, w=None, **more) -> DataFrame:

@@ -1,71 +1,73 @@
-"""Second and fourth moments of a few columns, from which every linear fit and its spread follow."""
+"""Sums of vectors that NumPy makes of batches of rows: one row for each task and group, then one for each group."""
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement as pairs_of
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .roles import checked
-
-#: Fourth moments of d columns are d ** 4 / 24; beyond this many covariates one aggregation has too many columns.
-MOST_COVARIATES = 5
-
-
-def linear_moments(df: DataFrame, x: list, y, yhat, w, by: list[str]) -> DataFrame:
-    """n, n_unlabeled, weights, and by role the sums of w z z' (s) and w^2 x x z z (q), for z = x, yhat and, where known, y."""
-    if len(x) > MOST_COVARIATES:
-        raise ValueError(f"at most {MOST_COVARIATES} covariates")
-    d = len(x)
-    t = checked(df, [y], [*x, yhat, *([w] if w is not None else [])], by)
-    weight = F.col(f"c{d + 1}") if w is not None else F.lit(1.0)
-    known = F.col("y0").isNotNull()
-    out = [F.count("y0").alias("n"), F.count(F.when(~known, 1)).alias("n_unlabeled"), F.sum(F.when(known, weight)).alias("w_l"), F.sum(F.when(~known, weight)).alias("w_u")]
-    for role, on, z in (("l", known, [*range(d + 1), "y"]), ("u", ~known, [*range(d + 1)])):
-        value = lambda k: F.col("y0" if k == "y" else f"c{k}")
-        for i, j in pairs_of(z, 2):
-            out.append(F.sum(F.when(on, weight * value(i) * value(j))).alias(f"s_{role}_{i}_{j}"))
-        for i, j in pairs_of(range(d), 2):
-            for k, m in pairs_of(z, 2):
-                out.append(F.sum(F.when(on, weight * weight * value(i) * value(j) * value(k) * value(m))).alias(f"q_{role}_{i}_{j}_{k}_{m}"))
-    return t.groupBy(*by).agg(*out) if by else t.agg(*out)
-
-
-class Moments:
-    """A row of linear_moments(), with weights normalised to mean 1 in each role; z is x, yhat, y (0 for unlabelled rows)."""
-
-    def __init__(self, r: dict, d: int):
-        self.d, self.n, self.big = d, r["n"], r["n_unlabeled"]
-        z = [*range(d + 1), "y"]
-        self.s, self.q = {}, {}
-        for role, rows, w in (("l", self.n, r["w_l"]), ("u", self.big, r["w_u"])):
-            s, q = np.zeros((d + 2, d + 2)), np.zeros((d, d, d + 2, d + 2))
-            scale = rows / w if rows else 0.0
-            for a, b in pairs_of(range(d + 2), 2):
-                v = r.get(f"s_{role}_{z[a]}_{z[b]}") or 0.0
-                s[a, b] = s[b, a] = v * scale
-                for i, j in pairs_of(range(d), 2):
-                    v = (r.get(f"q_{role}_{i}_{j}_{z[a]}_{z[b]}") or 0.0) * scale**2
-                    for p, o in ((i, j), (j, i)):
-                        q[p, o, a, b] = q[p, o, b, a] = v
-            self.s[role], self.q[role] = s, q
-
-    def gram(self, role: str) -> np.ndarray:
-        return self.s[role][: self.d, : self.d]
-
-    def with_(self, role: str, what: str) -> np.ndarray:
-        """The sums of w x yhat, or w x y."""
-        return self.s[role][: self.d, self.d + (what == "y")]
-
-    def residual(self, theta: np.ndarray, yhat: float = 0.0, y: float = 0.0) -> np.ndarray:
-        """Coefficients of x theta - yhat * f - y * y over z."""
-        return np.concatenate([theta, [-yhat, -y]])
-
-    def gradients(self, role: str, a: np.ndarray, b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Means of w x (z a) and w x (z b), and their covariance over the rows (ddof 0)."""
-        b = a if b is None else b
-        rows = self.n if role == "l" else self.big
-        ma, mb = (self.s[role][: self.d] @ c / rows for c in (a, b))
-        return ma, mb, np.einsum("ijkm,k,m->ij", self.q[role], a, b) / rows - np.outer(ma, mb)
+#: Groups that a task holds sums of before it gives them away.
+HELD = 4096
+
+
+def matrix(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """The named double columns of a batch, nulls as NaN, a row for each row."""
+    return np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1) if names else np.zeros((b.num_rows, 0))
+
+
+def groups_of(b: pa.RecordBatch, by: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The values of `by` and the rows of each group of a batch; nulls are a value."""
+    if not by:
+        yield (), np.arange(b.num_rows)
+        return
+    codes = np.stack([b.column(c).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for c in by], axis=1)
+    _, first, group = np.unique(codes, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(group.reshape(-1), kind="stable")
+    for at, rows in zip(first, np.split(order, np.cumsum(np.bincount(group.reshape(-1)))[:-1]), strict=True):
+        yield tuple(b.column(c)[int(at)].as_py() for c in by), rows
+
+
+def vector_sums(df: DataFrame, by: list[str], fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(by, v): for each group the sum of fn(rows) over batches; fn takes a matrix of the other columns of df, all double, and gives a vector of fixed length."""
+    rest = [c for c in df.columns if c not in by]
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c in by] + [T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        kinds = None
+
+        def given() -> pa.RecordBatch:
+            keys = [pa.array([k[i] for k in total], t) for i, t in enumerate(kinds)]
+            out = pa.RecordBatch.from_arrays([*keys, pa.array(list(total.values()), pa.list_(pa.float64()))], names=[*by, "v"])
+            total.clear()
+            return out
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds, m = [b.column(c).type for c in by], matrix(b, rest)
+            for key, rows in groups_of(b, by):
+                v = fn(m[rows] if by else m)
+                total[key] = total[key] + v if key in total else v
+            if len(total) >= HELD:
+                yield given()
+        if total:
+            yield given()
+
+    each = df.mapInArrow(run, schema).select(*by, F.posexplode("v").alias("_k", "_v"))
+    sums = each.groupBy(*by, "_k").agg(F.sum("_v").alias("_v"))
+    whole = F.sort_array(F.collect_list(F.struct("_k", "_v")))  # as many as a vector has numbers
+    out = sums.groupBy(*by).agg(whole.alias("_all")) if by else sums.agg(whole.alias("_all"))
+    return out.select(*by, F.transform("_all", lambda s: s["_v"]).alias("v"))
+
+
+def joined(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of df with the columns of their group's row in other; without groups, other is one row."""
+    if not by:
+        return df.crossJoin(F.broadcast(other))
+    renamed = other.select(*[F.col(b).alias(f"_of_{b}") for b in by], *[c for c in other.columns if c not in by])
+    return df.join(renamed, [F.col(b).eqNullSafe(F.col(f"_of_{b}")) for b in by]).drop(*[f"_of_{b}" for b in by])

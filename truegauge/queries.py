@@ -377,21 +377,114 @@ query(lambda s, d: s.createDataFrame([(power.size_for_effect(0.05, 0.5), power.s
 query(lambda s, d: s.createDataFrame([(dkw_error(1000, 0.1), *map(float, binomial_bounds(100, 0.1, 0.3)), float(max_binomial_error(100, 2, 0.1, [0.3, 0.7])))], "dkw double, low double, high double, worst double"), name="binomial_errors")
 
 
-def rows_of(x: np.ndarray) -> float:
-    return float(np.mean(x))
+def replicates_sql(source: str, key: str, columns: str, n: int, tuning: int = 0, where: str = "true", whole: bool = True) -> str:
+    """CTEs up to w(b, columns, w): each row's weight in each replicate; see operators.resample."""
+    prime, first = resample.PRIME, 0 if whole else 1
+    ids = f"SELECT unnest(range({first}, {n + 1})) AS b" + (f" UNION ALL SELECT {resample.TUNING} + unnest(range({tuning}))" if tuning else "")
+    rounds = "".join(f", k{i + 1} AS (SELECT b, j, (x * x % {prime} * 48271 + 12345) % {prime} AS x FROM k{i})" for i in range(3))
+    poly = "a0"
+    for j in (1, 2, 3):
+        poly = f"({poly} * k + a{j}) % {prime}"
+    return f"""WITH {source}, ids AS ({ids}), k0 AS (SELECT b, j, (4 * b + j + 1) % {prime} AS x FROM ids, range(4) t(j)){rounds},
+  c AS (SELECT b, {", ".join(f"max(x) FILTER (j = {j}) AS a{j}" for j in range(4))} FROM k3 GROUP BY b),
+  w AS (SELECT b, {columns}, CASE WHEN b = 0 THEN 1 ELSE {" + ".join(f"(h >= {t})::INTEGER" for t in resample.LIMITS)} END AS w FROM (SELECT b, {columns}, {poly} AS h FROM (SELECT ({key})::BIGINT % {prime} AS k, {columns} FROM d WHERE {where}), c))"""
 
 
-query(lambda s, d: resample.bootstrap_ci(docs(s, d), rows_of, "quality", "yhat"), name="rectified_bootstrap_mean")
-query(lambda s, d: resample.bootstrap_ci(orders(s, d), lambda x, v: np.corrcoef(x[:, 0], v)[0, 1], "price", "yhat_price", x="count", n_resamples=300, method="basic"), name="rectified_bootstrap_corr")
-query(lambda s, d: resample.classical_bootstrap_ci(docs(s, d), rows_of, "quality"), name="classical_bootstrap_mean")
-query(lambda s, d: resample.poisson_mean_ci(docs(s, d), "quality", "yhat"), name="poisson_bootstrap_mean")
-query(lambda s, d: ptd.ptd_linear(orders(s, d), ["one", "x"], ["one", "x"], "price", "yhat_price", n_resamples=200), name="ptd_linear")
-query(lambda s, d: ptd.ptd_logistic(docs(s, d), ["one", "lx"], ["one", "lx"], "quality", "yhat", n_resamples=100, tuning="optimal"), name="ptd_logistic")
+def bootstrap_sql(replicated: str, parts: str, n: int, alpha: float = 0.1, method: str = "percentile", lam: str | None = None) -> str:
+    """SQL of a rectified bootstrap; parts: the estimates yl, fl and fu of a group of w."""
+    tuned = lam or f"(SELECT covar_samp(yl, fl) / (var_pop(fl) + var_pop(fu)) FROM e WHERE b >= {resample.TUNING})"
+    low, high = f"quantile_cont(v, {alpha / 2}) FILTER (b BETWEEN 1 AND {n})", f"quantile_cont(v, {1 - alpha / 2}) FILTER (b BETWEEN 1 AND {n})"
+    whole = "max(v) FILTER (b = 0)"
+    if method == "basic":
+        low, high = f"2 * {whole} - {high}", f"2 * {whole} - {low}"
+    return f"""{replicated}, e AS (SELECT b, {parts} FROM w GROUP BY b), l AS (SELECT {tuned} AS lam), v AS (SELECT b, lam, lam * fu + yl - lam * fl AS v FROM e, l),
+  o AS (SELECT max(lam) AS lam, {whole} AS estimate, {low} AS lower, {high} AS upper FROM v)
+SELECT 0::INTEGER AS coord, {rounded('lam, estimate, lower, upper')} FROM o"""
+
+
+MEAN_PARTS = "sum(w * y) / sum(w) FILTER (y IS NOT NULL) AS yl, sum(w * f) FILTER (y IS NOT NULL) / sum(w) FILTER (y IS NOT NULL) AS fl, sum(w * f) FILTER (y IS NULL) / sum(w) FILTER (y IS NULL) AS fu"
+
+
+def corr_sql(x: str, v: str, on: str) -> str:
+    s = lambda e: f"sum(w * {e}) FILTER ({on})"
+    n = f"sum(w) FILTER ({on})"
+    return f"({n} * {s(f'{x} * {v}')} - {s(x)} * {s(v)}) / sqrt(({n} * {s(f'{x} * {x}')} - {s(x)} ** 2) * ({n} * {s(f'{v} * {v}')} - {s(v)} ** 2))"
+
+
+query(lambda s, d: resample.bootstrap_ci(docs(s, d), resample.MEAN, "quality", "yhat", key="doc_id"), name="rectified_bootstrap_mean", sql=bootstrap_sql(replicates_sql(DOCS, "doc_id", "y, f", 1000, 50), MEAN_PARTS, 1000))
+query(
+    lambda s, d: resample.bootstrap_ci(orders(s, d), resample.CORRELATION, "price", "yhat_price", x="count", n_resamples=300, method="basic", key="o"),
+    name="rectified_bootstrap_corr",
+    sql=bootstrap_sql(replicates_sql(ORDERS, "o", "price, fp, k AS z", 300, 50).replace("SELECT b, price, fp, k AS z,", "SELECT b, price, fp, z,"), ", ".join(f"{corr_sql('z', v, on)} AS {name}" for v, on, name in (("price", "price IS NOT NULL", "yl"), ("fp", "price IS NOT NULL", "fl"), ("fp", "price IS NULL", "fu"))), 300, method="basic"),
+)
+query(
+    lambda s, d: resample.classical_bootstrap_ci(docs(s, d), resample.MEAN, "quality", key="doc_id"),
+    name="classical_bootstrap_mean",
+    sql=bootstrap_sql(replicates_sql(DOCS, "doc_id", "y", 1000, where="y IS NOT NULL"), "sum(w * y) / sum(w) AS yl, 0 AS fl, 0 AS fu", 1000, lam="0.0::DOUBLE"),
+)
+query(
+    lambda s, d: resample.poisson_mean_ci(docs(s, d), "quality", "yhat", "doc_id"),
+    name="poisson_bootstrap_mean",
+    sql=f"{replicates_sql(DOCS, 'doc_id', 'y, f', 200, whole=False)}, v AS (SELECT fu + yl - fl AS v FROM (SELECT b, {MEAN_PARTS} FROM w GROUP BY b)), o AS (SELECT avg(v) AS estimate, quantile_cont(v, 0.05) AS lower, quantile_cont(v, 0.95) AS upper FROM v) SELECT {rounded('estimate, lower, upper')} FROM o",
+)
+
+
+def ptd_linear_sql(n: int, alpha: float = 0.05) -> str:
+    """SQL of predict-then-debias for y ~ 1 + x, where x is imputed as its whole part, tuned by coordinate."""
+
+    def fit(name: str, v: str, x: str, on: str) -> str:
+        s = lambda e: f"sum(w * {e}) FILTER ({on})"
+        det = f"({s('1')} * {s(f'{x} * {x}')} - {s(x)} ** 2)"
+        return f"({s(f'{x} * {x}')} * {s(v)} - {s(x)} * {s(f'{x} * {v}')}) / {det} AS {name}0, ({s('1')} * {s(f'{x} * {v}')} - {s(x)} * {s(v)}) / {det} AS {name}1"
+
+    fits = ", ".join(fit(*p) for p in (("a", "y", "x", "y IS NOT NULL"), ("p", "f", "floor(x)", "y IS NOT NULL"), ("u", "f", "floor(x)", "y IS NULL")))
+    rows = " UNION ALL ".join(
+        f"""SELECT {k}::INTEGER AS coord, max(t) AS tuning, max(v) FILTER (b = 0) AS estimate, quantile_cont(v, {alpha / 2}) FILTER (b > 0) AS lower, quantile_cont(v, {1 - alpha / 2}) FILTER (b > 0) AS upper
+  FROM (SELECT b, t, t * u{k} + a{k} - t * p{k} AS v FROM e, (SELECT covar_samp(a{k}, p{k}) / (var_samp(p{k}) + var_samp(u{k})) AS t FROM e WHERE b > 0))"""
+        for k in (0, 1)
+    )
+    return f"{replicates_sql(DOCS, 'doc_id', 'y, f, x', n)}, e AS (SELECT b, {fits} FROM w GROUP BY b), o AS ({rows}) SELECT coord, {rounded('tuning, estimate, lower, upper')} FROM o"
+
+
+query(lambda s, d: ptd.ptd_linear(docs(s, d).withColumn("imputed", F.floor("lx")), ["one", "lx"], ["one", "imputed"], "quality", "yhat", n_resamples=200, key="doc_id"), name="ptd_linear", sql=ptd_linear_sql(200))
+query(lambda s, d: ptd.ptd_logistic(docs(s, d), ["one", "lx"], ["one", "lx"], "quality", "yhat", n_resamples=100, tuning="optimal", key="doc_id"), name="ptd_logistic")
 query(lambda s, d: ptd.ptd_quantile(orders(s, d), 0.5, "price", "yhat_price", n_resamples=200), name="ptd_quantile")
-query(lambda s, d: baselines.semisupervised_mean_ci(orders(s, d), ["x"], "price", 5, "o"), name="semisupervised_mean")
-query(lambda s, d: baselines.postprediction_ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price"), name="postprediction_ols")
+SEMISUPERVISED = f"""WITH {ORDERS}, l AS (SELECT x, price AS y, row_number() OVER (ORDER BY o) - 1 AS r, count(*) OVER () AS n FROM d WHERE price IS NOT NULL), u AS (
+  SELECT x, x - avg(x) OVER () AS c, row_number() OVER (ORDER BY o) - 1 AS r FROM d WHERE price IS NULL
+), f AS (SELECT *, r // (n // 5) AS fold FROM l), b AS (
+  SELECT j, regr_slope(y, x) AS b1, regr_intercept(y, x) AS b0 FROM f, range(5) t(j) WHERE fold <> j GROUP BY j
+), t AS (SELECT avg(x) AS mx, var_pop(x) AS vx, count(*) AS m FROM u), p AS (
+  SELECT f.y, fold, coalesce(b0 + b1 * f.x, 0) AS fitted, coalesce(f.y - b1 * c, 0) AS rest, b1 * c AS along FROM f LEFT JOIN b ON j = fold LEFT JOIN u ON u.r = f.r AND fold < 5
+), e AS (SELECT (SELECT avg(b0 + b1 * mx) FROM b, t) + avg(y - fitted) AS estimate, count(*) AS n FROM p), s AS (
+  SELECT avg(b1 * b1 * vx + 2 * both_ - 2 * a * estimate) AS s FROM (SELECT fold, avg(along) AS a, avg(along * rest) AS both_ FROM p WHERE fold < 5 GROUP BY fold) JOIN b ON j = fold, t, e
+), o AS (SELECT n, m, estimate, sqrt(((SELECT avg((rest - estimate) ** 2) FROM p, e) + n / m * s) / n) AS se FROM e, s, t)
+SELECT n::BIGINT AS n, m::BIGINT AS n_unlabeled, round(estimate, 5) + 0.0 AS estimate, round(se, 5) + 0.0 AS se, round(estimate - {Z} * se, 5) + 0.0 AS lower, round(estimate + {Z} * se, 5) + 0.0 AS upper FROM o"""
+query(lambda s, d: baselines.semisupervised_mean_ci(orders(s, d), ["x"], "price", 5, "o"), name="semisupervised_mean", sql=SEMISUPERVISED)
+query(lambda s, d: baselines.postprediction_ols_ci(orders(s, d), ["one", "x"], "price", "yhat_price", "o"), name="postprediction_ols")
+query(lambda s, d: NO_P(linear.classical_ols_ci(orders(s, d), ["one", "x"], "price", w=F.col("o") % 3 + 1)), name="classical_wls_ci", sql=regression_sql("ols", "1", "x", "price", "fp", ORDERS, lam="0", classical=True, w="o % 3 + 1"))
 query(lambda s, d: baselines.maritz_jarrett_ci(orders(s, d), "price", 0.5), name="maritz_jarrett_ci")
-query(lambda s, d: experiment.weighted_sample(docs(s, d), 50, "n_chars", "doc_id").select("doc_id", "n_chars"), name="weighted_sample")
-query(lambda s, d: experiment.trial_grid(docs(s, d), "quality", "yhat", "doc_id", [50, 100], 20), name="trial_grid")
-query(lambda s, d: experiment.width_summary(experiment.trial_grid(docs(s, d), "quality", "yhat", "doc_id", [50, 100], 20)), name="width_summary")
+
+
+def hashed_sql(trials: int) -> str:
+    """CTEs up to h(key, b, h, columns of d): the cubic polynomials of resample.hashes(), seed 0; b 0 is that of weighted_sample, others are trials."""
+    prime, poly = resample.PRIME, "a0"
+    rounds = "".join(f", k{i + 1} AS (SELECT b, j, (x * x % {prime} * 48271 + 12345) % {prime} AS x FROM k{i})" for i in range(3))
+    for j in (1, 2, 3):
+        poly = f"({poly} * (doc_id::BIGINT % {prime}) + a{j}) % {prime}"
+    return f"""{DOCS}, k0 AS (SELECT b, j, (4 * b + j + 1) % {prime} AS x FROM range({trials + 1}) r(b), range(4) t(j)){rounds},
+  c AS (SELECT b, {", ".join(f"max(x) FILTER (j = {j}) AS a{j}" for j in range(4))} FROM k3 GROUP BY b), h AS (SELECT d.*, b, {poly} AS h FROM d, c)"""
+
+
+def trials_sql(lam: str) -> str:
+    """SQL of trial_grid with sizes 50 and 100 in 20 trials, at a weight."""
+    split = f"""{hashed_sql(20)}, p AS (
+    SELECT (b - 1)::INTEGER AS trial, y, f, row_number() OVER (PARTITION BY b ORDER BY h, doc_id) AS place FROM h WHERE y IS NOT NULL AND b > 0
+  ), g AS (SELECT trial, size, CASE WHEN place <= size THEN y END AS y, f FROM p, (SELECT unnest([50, 100]) AS size))"""
+    return mean_sql(by="trial, size", lam=lam, table="g", columns=":estimate, :lower, :upper", source=split).replace("FROM g d JOIN", "FROM g AS d JOIN")
+
+
+GRID = " UNION ALL ".join(f"SELECT trial, size::INTEGER AS n, '{method}' AS method, estimate, lower, upper, upper - lower AS width FROM ({trials_sql(lam)})" for method, lam in (("rectified", "tuned"), ("classical", "0")))
+query(lambda s, d: experiment.weighted_sample(docs(s, d), 50, "n_chars", "doc_id").select("doc_id", "n_chars"), name="weighted_sample", sql=f"WITH {hashed_sql(0)} SELECT doc_id, n_chars FROM h ORDER BY -ln((h + 0.5) / {float(resample.PRIME)}) / n_chars, doc_id LIMIT 50")
+query(lambda s, d: experiment.trial_grid(docs(s, d), "quality", "yhat", "doc_id", [50, 100], 20), name="trial_grid", sql=f"SELECT trial, n, method, {rounded('estimate, lower, upper, width')} FROM ({GRID})")
+query(lambda s, d: experiment.width_summary(experiment.trial_grid(docs(s, d), "quality", "yhat", "doc_id", [50, 100], 20)), name="width_summary", sql=f"SELECT method, n, round(avg(width), 5) + 0.0 AS width, count(*) AS trials FROM ({GRID}) GROUP BY method, n")
 query(lambda s, d: experiment.rejection_search(docs(s, d), "quality", "yhat", "doc_id", 0.7, 0.8, [25, 50, 100, 200], 20), name="power_search")
