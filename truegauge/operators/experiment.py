@@ -108,7 +108,7 @@ def trial_grid(df: DataFrame, y, yhat, key, sizes: list[int], trials: int, alpha
     moments for all trials and sizes, centred at the means of all rows; rows are neither multiplied nor sorted.
     """
     ask, spark = sorted(set(sizes)), df.sparkSession
-    t = keyed(df.where(column(y).isNotNull()), key, [], [y, yhat])
+    t = keyed(df.where(column(y).isNotNull()), key, [], [y, yhat]).withColumn("_key", F.pmod("_key", F.lit(1 << 52)))  # exact as a double
     rows, *middle = t.agg(F.count(F.lit(1)), F.avg("c0"), F.avg("c1")).first()
     if not rows:
         return spark.createDataFrame([], TRIALS)

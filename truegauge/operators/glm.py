@@ -22,8 +22,8 @@ from .linear import mean_of
 from .rectify import SCHEMA, Spread, coefficient_rows, correlation, inverse, power_weight, standard_errors
 
 STEPS = 60
-#: A step this small leaves an error of its square.
-TOLERANCE = 1e-8
+#: A step this small leaves an error of its square; a fit at which only the weight is tuned may stop earlier.
+TOLERANCE, ROUGH = 1e-6, 1e-4
 
 
 class Family(NamedTuple):
@@ -52,12 +52,14 @@ class Problem:
         self.f, self.y = F.col(f"c{self.d}"), F.col("y0")
         weight = F.col(f"c{self.d + 1}") if w is not None else F.lit(1.0)
         known = self.y.isNotNull()
-        r = self.rows.agg(F.count("y0"), F.count(F.when(~known, 1)), F.sum(F.when(known, weight)), F.sum(F.when(~known, weight))).first()
-        self.n, self.big = r[0], r[1]
+        on = {"l": F.when(known, weight), "u": F.when(~known, weight)}
+        sums = [F.coalesce(F.sum(on[role] * v * c), F.lit(0.0)) for role, v in (("l", self.y), ("l", self.f), ("u", self.f)) for c in self.x]
+        sizes = [F.count("y0"), F.count(F.when(~known, 1)), F.sum(on["l"]), F.sum(on["u"])]
+        self.n, self.big, wl, wu, *r = self.rows.agg(*[c.alias(f"s{k}") for k, c in enumerate([*sizes, *sums])]).first()
         # weights with mean 1 in each role
-        self.on = {"l": F.when(known, weight * (self.n / r[2] if self.n else 0.0)), "u": F.when(~known, weight * (self.big / r[3] if self.big else 0.0))}
-        names = [F.coalesce(F.sum(self.on[role] * v * c), F.lit(0.0)) for role, v in (("l", self.y), ("l", self.f), ("u", self.f)) for c in self.x]
-        self.xy, self.xf, self.xu = np.array(self.rows.agg(*[c.alias(f"s{k}") for k, c in enumerate(names)]).first(), dtype=float).reshape(3, self.d)
+        scale = {"l": self.n / wl if self.n else 0.0, "u": self.big / wu if self.big else 0.0}
+        self.on = {role: c * scale[role] for role, c in on.items()}
+        self.xy, self.xf, self.xu = np.array(r, dtype=float).reshape(3, self.d) * np.array([[scale["l"]], [scale["l"]], [scale["u"]]])
 
     def __enter__(self) -> Problem:
         return self
@@ -65,16 +67,16 @@ class Problem:
     def __exit__(self, *_) -> None:
         self.rows.unpersist()
 
-    def eta(self, theta: np.ndarray) -> Column:
-        out = F.lit(0.0)
-        for c, t in zip(self.x, theta, strict=True):
-            out = out + c * float(t)
-        return out
+    def at(self, theta: np.ndarray) -> DataFrame:
+        """The rows with _eta, _mu and _v. The coefficients are a row, not constants, so that all steps share one compiled plan."""
+        row = self.rows.sparkSession.createDataFrame([tuple(map(float, theta))], ", ".join(f"t{k} double" for k in range(self.d)))
+        eta = sum((c * F.col(f"t{k}") for k, c in enumerate(self.x)), F.lit(0.0))
+        t = self.rows.crossJoin(F.broadcast(row)).withColumn("_eta", eta)  # one row
+        return t.withColumn("_mu", self.family.mean(F.col("_eta"))).withColumn("_v", self.family.variance(F.col("_eta")))
 
     def step_sums(self, theta: np.ndarray) -> tuple[dict, dict, dict]:
         """By role: the sums of w * potential, of w x mu, and of w v x x'."""
-        f, eta = self.family, F.col("_eta")
-        t = self.rows.withColumn("_eta", self.eta(theta)).withColumn("_mu", f.mean(eta)).withColumn("_v", f.variance(eta)).withColumn("_b", f.potential(eta))
+        t = self.at(theta).withColumn("_b", self.family.potential(F.col("_eta")))
         out = []
         for on in self.on.values():
             out += [F.sum(on * F.col("_b"))] + [F.sum(on * F.col("_mu") * c) for c in self.x] + [F.sum(on * F.col("_v") * a * b) for a, b in pairs_of(self.x, 2)]
@@ -87,7 +89,7 @@ class Problem:
             hess[role] = h
         return {"l": r[0, 0], "u": r[1, 0]}, {"l": r[0, 1 : 1 + self.d], "u": r[1, 1 : 1 + self.d]}, hess
 
-    def fit(self, lam: float, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    def fit(self, lam: float, start: np.ndarray | None = None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, bool]:
         """The minimiser at lam, and whether the steps converged."""
         at = np.zeros(self.d) if start is None else start
         use = lam if self.big else 0.0
@@ -110,14 +112,13 @@ class Problem:
                 size /= 2
             moved = np.abs(size * step).max()
             at, (loss, grad, hess) = new, got
-            if moved <= TOLERANCE * (1 + np.abs(at).max()) or np.abs(grad).max() < 1e-13:
+            if moved <= tolerance * (1 + np.abs(at).max()) or np.abs(grad).max() < 1e-13:
                 return at, True
         return at, False
 
     def spread(self, theta: np.ndarray, unlabelled: bool = True, rectifier_alone: bool = False) -> Spread:
         """Gradient moments and curvature at theta, in one pass; rectifier_alone: g is then x (yhat - y)."""
-        eta = F.col("_eta")
-        t = self.rows.withColumn("_eta", self.eta(theta)).withColumn("_mu", self.family.mean(eta)).withColumn("_v", self.family.variance(eta))
+        t = self.at(theta)
         g = [self.on["l"] * c * (self.f - self.y if rectifier_alone else F.col("_mu") - self.y) for c in self.x]
         ghat = [self.on["l"] * c * (F.col("_mu") - self.f) for c in self.x]
         ghat_u = [self.on["u"] * c * (F.col("_mu") - self.f) for c in self.x]
@@ -140,7 +141,7 @@ class Problem:
 def glm_estimate(df: DataFrame, family: str, x, y, yhat, lam=None, coord=None, w=None) -> DataFrame:
     """Rectified coefficients of a logistic or Poisson regression. No intercept is added."""
     with Problem(df, x, y, yhat, w, family) as p:
-        theta, ok = p.fit(1.0 if lam is None else lam)
+        theta, ok = p.fit(1.0, tolerance=ROUGH) if lam is None else p.fit(lam)
         if lam is None:
             lam = power_weight(p.spread(theta), coord, clip=True)
             theta, ok = p.fit(lam, theta)
@@ -150,11 +151,11 @@ def glm_estimate(df: DataFrame, family: str, x, y, yhat, lam=None, coord=None, w
 def glm_ci(df: DataFrame, family: str, x, y, yhat, alpha=0.1, alternative="two-sided", lam=None, coord=None, w=None) -> DataFrame:
     """Rectified coefficients with sandwich errors, bounds and p-values against 0; a lam of None is tuned twice, as for linear regression."""
     with Problem(df, x, y, yhat, w, family) as p:
-        theta, ok = p.fit(1.0 if lam is None else lam)
+        theta, ok = p.fit(1.0, tolerance=ROUGH) if lam is None else p.fit(lam)
         if lam is None:
-            for _ in range(2):
+            for tolerance in (ROUGH, TOLERANCE):
                 lam = power_weight(p.spread(theta), coord, clip=True)
-                theta, ok = p.fit(lam, theta)
+                theta, ok = p.fit(lam, theta, tolerance)
         se = standard_errors(p.spread(theta, bool(lam)), lam)
         return p.frame(df.sparkSession, coefficient_rows(theta, se, p.n, p.big, lam, alpha, alternative), SCHEMA, ok)
 
@@ -168,14 +169,17 @@ def classical_glm_ci(df: DataFrame, family: str, x, y, alpha=0.1, alternative="t
         return p.frame(df.sparkSession, coefficient_rows(theta, se, p.n, 0, 0.0, alpha, alternative), SCHEMA, ok)
 
 
-def cross_glm_ci(df: DataFrame, family: str, x, y, yhat, models, alpha=0.1, alternative="two-sided") -> DataFrame:
-    """Cross-fit coefficients: weight 1, and the mean of the array column `models` on unlabelled rows."""
+def cross_glm_ci(df: DataFrame, family: str, x, y, yhat, models, alpha=0.1, alternative="two-sided", bootstrap: DataFrame | None = None) -> DataFrame:
+    """Cross-fit coefficients: weight 1, and the mean of the array column `models` on unlabelled rows. The spreads of gradients come from `bootstrap`, a table of the same columns, if given."""
     f = F.when(column(y).isNotNull(), column(yhat).cast("double")).otherwise(mean_of(models))
     with Problem(df.withColumn("_f", f), x, y, "_f", None, family) as p:
         theta, ok = p.fit(1.0)
         s = p.spread(theta, rectifier_alone=True)
-        h = inverse(s.hessian)
-        sigma = h @ (p.n / p.big * s.ghat_u * p.big / (p.big - 1) + s.g * p.n / (p.n - 1)) @ h
+        h, n, big = inverse(s.hessian), p.n, p.big
+        if bootstrap is not None:
+            with Problem(bootstrap.withColumn("_f", f), x, y, "_f", None, family) as q:
+                s, n, big = q.spread(theta, rectifier_alone=True), q.n, q.big
+        sigma = h @ (p.n / p.big * s.ghat_u * big / (big - 1) + s.g * n / (n - 1)) @ h
         return p.frame(df.sparkSession, coefficient_rows(theta, np.sqrt(np.diag(sigma) / p.n), p.n, p.big, 1.0, alpha, alternative), SCHEMA, ok)
 
 

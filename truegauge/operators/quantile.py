@@ -43,22 +43,38 @@ def _sizes(df: DataFrame, y, w, by: list[str]) -> DataFrame:
     return t.groupBy(*by).agg(F.count(F.when(on, 1)).alias("n"), F.count(F.when(~on, 1)).alias("n_unlabeled"), F.sum(F.when(on, F.col("_w"))).alias("w_l"), F.sum(F.when(~on, F.col("_w"))).alias("w_u"))
 
 
-def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, models=None) -> DataFrame:
+def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, models=None, bootstrap: DataFrame | None = None) -> DataFrame:
     """(by, grid, n, n_unlabeled, cdf, se, imputed, rectifier): the rectified distribution function at grid points.
 
     The grid is GRID points from the least to the greatest value, or with exact_grid all the values. models: an array
-    column of predictions on unlabelled rows, instead of yhat there.
+    column of predictions on unlabelled rows, instead of yhat there. The spreads come from `bootstrap`, a table of the
+    same columns, if given; this takes the even grid.
     """
-    df, by = by_names(df, by)
+    if bootstrap is not None and exact_grid:
+        raise ValueError("spreads of a bootstrap table need the even grid")
+    df, names = by_names(df, by)
+    out, ends = _steps(df, y, yhat, names, exact_grid, w, models)
+    spread = lambda t: F.greatest(F.sqrt(F.col(f"{t}var_l") / F.col("n") + F.col(f"{t}var_u") / F.col("n_unlabeled")), F.lit(1e-16))
+    if bootstrap is None:
+        return out.withColumn("se", spread("")).drop("var_l", "var_u")
+    other = _steps(by_names(bootstrap, by)[0], y, yhat, names, False, w, models, ends)[0]
+    other = other.select(*[F.col(b).alias(f"_{b}") for b in names], F.col("grid").alias("_grid"), F.col("var_l").alias("_var_l"), F.col("var_u").alias("_var_u"))
+    both = out.join(other, [F.col("grid") == F.col("_grid"), *[F.col(b).eqNullSafe(F.col(f"_{b}")) for b in names]])
+    return both.withColumn("se", spread("_")).select(*names, "grid", "n", "n_unlabeled", "cdf", "se", "imputed", "rectifier")
+
+
+def _steps(df: DataFrame, y, yhat, by: list[str], exact_grid: bool, w, models, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(by, grid, n, n_unlabeled, cdf, var_l, var_u, imputed, rectifier), and the even grid's ends, which may be given; var_: the variance of a row's part, of labelled and of other rows."""
     events = _events(df, y, yhat, w, by, models)
     if exact_grid:
         steps = events.groupBy(*by, F.col("v").alias("grid")).agg(*[F.sum(c).alias(c) for c in SUMS])
         steps = running(steps, "grid", list(SUMS), by)
     else:
-        ends = events.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+        ends = events.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")) if ends is None else ends
         step = (F.col("_hi") - F.col("_lo")) / (GRID - 1)
         point = lambda g: F.when(g >= GRID - 1, F.col("_hi")).otherwise(F.col("_lo") + g * step)
-        guess = F.when(step > 0, F.ceil((F.col("v") - F.col("_lo")) / F.nullif(step, F.lit(0.0)))).otherwise(0).cast("int")
+        at = F.ceil((F.col("v") - F.col("_lo")) / F.nullif(step, F.lit(0.0)))
+        guess = F.when(step > 0, F.greatest(F.least(at, F.lit(GRID)), F.lit(0))).otherwise(0).cast("int")  # values of another table may lie beyond the ends
         fixed = F.when((guess > 0) & (F.col("v") <= point(guess - 1)), guess - 1).when(F.col("v") > point(guess), guess + 1).otherwise(guess)
         same = [F.col(f"_{b}").eqNullSafe(F.col(b)) for b in by]
         ends_of = ends.select(*[F.col(b).alias(f"_{b}") for b in by], "_lo", "_hi")
@@ -74,8 +90,8 @@ def rectified_cdf(df: DataFrame, y, yhat, by=(), exact_grid=False, w=None, model
     imputed, means = F.col("u") / F.col("w_u"), F.col("p") / F.col("w_u")
     rectifier = (F.col("y") - F.col("f")) / F.col("w_l")
     square = n / (F.col("w_l") * F.col("w_l")) * (F.col("y2") + F.col("f2") - 2 * F.col("m2"))
-    spread = F.greatest(square - rectifier * rectifier, F.lit(0.0)) / n + F.greatest(F.col("p2") * big / (F.col("w_u") * F.col("w_u")) - means * means, F.lit(0.0)) / big
-    return both.select(*by, "grid", "n", "n_unlabeled", (imputed + rectifier).alias("cdf"), F.greatest(F.sqrt(spread), F.lit(1e-16)).alias("se"), imputed.alias("imputed"), rectifier.alias("rectifier"))
+    var_l, var_u = F.greatest(square - rectifier * rectifier, F.lit(0.0)), F.greatest(F.col("p2") * big / (F.col("w_u") * F.col("w_u")) - means * means, F.lit(0.0))
+    return both.select(*by, "grid", "n", "n_unlabeled", (imputed + rectifier).alias("cdf"), var_l.alias("var_l"), var_u.alias("var_u"), imputed.alias("imputed"), rectifier.alias("rectifier")), ends
 
 
 def quantile_estimate(df: DataFrame, y, yhat, q: float, by=(), exact_grid=False, w=None, models=None) -> DataFrame:
@@ -85,10 +101,10 @@ def quantile_estimate(df: DataFrame, y, yhat, q: float, by=(), exact_grid=False,
     return cdf.groupBy(*names).agg(F.max("n").alias("n"), F.max("n_unlabeled").alias("n_unlabeled"), F.min_by("grid", F.struct(F.round(F.abs(F.col("cdf") - q), 12), "grid")).alias("estimate"))
 
 
-def quantile_ci(df: DataFrame, y, yhat, q: float, by=(), alpha=0.1, exact_grid=False, w=None, models=None, alternative="two-sided") -> DataFrame:
+def quantile_ci(df: DataFrame, y, yhat, q: float, by=(), alpha=0.1, exact_grid=False, w=None, models=None, alternative="two-sided", bootstrap: DataFrame | None = None) -> DataFrame:
     """The least and the greatest grid point at which q isn't rejected; null if there is none."""
     names = by_names(df, by)[1]
-    cdf = rectified_cdf(df, y, yhat, by, exact_grid, w, models)
+    cdf = rectified_cdf(df, y, yhat, by, exact_grid, w, models, bootstrap)
     z, most = (F.col("cdf") - q) / F.col("se"), z_of(alpha, alternative)
     inside = {"two-sided": F.abs(z) < most, "larger": z < most, "smaller": z > -most}[check_alternative(alternative)]
     return cdf.groupBy(*names).agg(F.max("n").alias("n"), F.max("n_unlabeled").alias("n_unlabeled"), F.min(F.when(inside, F.col("grid"))).alias("lower"), F.max(F.when(inside, F.col("grid"))).alias("upper"))

@@ -5,13 +5,16 @@ Floating results are rounded, as sums in another order differ in their last digi
 
 from __future__ import annotations
 
-import numpy as np
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.normal import ERFC, binomial_bounds, dkw_error, max_binomial_error, z_of
 from .operators import baselines, cross, experiment, glm, labelshift, linear, mean, power, ptd, quantile, resample
+from .plans.scratch import shared_dir
 from .sources.tables import labelled_documents, load, order_lines
+from .streaming.means import StreamingMean
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -364,17 +367,64 @@ INFLUENCE = ORDERS + """, r AS (
 ),"""
 query(lambda s, d: power.as_frame(s, power.plan(0.8, 0.0, 1.0, 0.1, budget=1000)), name="power_known_corr", sql=plan_sql("0.8::DOUBLE", 1000, None, 0, 1, 0.1))
 query(lambda s, d: power.as_frame(s, power.plan(0.5, 0.1, 2.0, 0.1, effective_n=500)), name="power_cheap", sql=plan_sql("0.5::DOUBLE", None, 500, 0.1, 2, 0.1))
-query(lambda s, d: power.as_frame(s, power.plan(0.9, 0.0, 1.0, 0.1, budget=1000, n_max=2000), power.plan(0.9, 0.0, 1.0, 0.1, effective_n=1000, n_max=1500)), name="power_n_max")
+
+
+def limited_sql(rho: float, budget: float | None, size: float | None, cf: float, n_max: int) -> str:
+    """SQL of a plan of at most n_max rows, with covariates for nothing and labels for 1."""
+    free, r = plan_sql(f"{rho}::DOUBLE", budget, size, 0, 1, cf), rho * rho
+    n = f"round_even({budget} / 1 - {n_max} * {cf}, 0)" if budget else f"round_even({size} * {n_max} * (1 - {r}) / ({n_max} - {r} * {size}), 0)"
+    return f"""SELECT * FROM (SELECT CASE WHEN over THEN l ELSE n END::BIGINT AS n, CASE WHEN over THEN {n_max} - l ELSE n_unlabeled END::BIGINT AS n_unlabeled, CASE WHEN over THEN round(l + {n_max} * {cf}, 5) ELSE cost END AS cost,
+  CASE WHEN over THEN round_even(l * {n_max} / (l + (1 - {r}) * ({n_max} - l)), 0) ELSE effective_n END::BIGINT AS effective_n, correlation FROM (SELECT *, n + n_unlabeled > {n_max} AS over, {n} AS l FROM ({free})))"""
+
+
+query(
+    lambda s, d: power.as_frame(s, power.plan(0.9, 0.0, 1.0, 0.1, budget=1000, n_max=2000), power.plan(0.9, 0.0, 1.0, 0.1, effective_n=1000, n_max=1500)),
+    name="power_n_max",
+    sql=f"{limited_sql(0.9, 1000, None, 0.1, 2000)} UNION ALL {limited_sql(0.9, None, 1000, 0.1, 1500)}",
+)
+
+
+def influence_sql(kind: str, y: str, f: str, source: str) -> str:
+    """The correlation of a label's and its prediction's influence on the first of two coefficients, fitted to the labelled rows; at most 1 - 1 / n."""
+    fits = regression_sql(kind, "1", "x", y, f, source, lam="0", classical=True).rsplit(",\nb AS (SELECT", 1)[0]
+    at = lambda c: f"(i11 * i11 * {c}11 + 2 * i11 * i12 * {c}12 + i12 * i12 * {c}22)"
+    return f"({fits} SELECT least({at('gf')} / 2 / sqrt({at('gg')} * {at('ff')}), 1 - 1 / n) FROM b3)"
+
+
+def phi_sql(x: str) -> str:
+    """The normal distribution function."""
+    return f"CASE WHEN {x} >= 0 THEN 1 - {p_value_sql(f'abs({x})')} / 2 ELSE {p_value_sql(f'abs({x})')} / 2 END"
+
+
+def bisected_sql(low: float, high: float, rises: str, steps: int = 60) -> str:
+    """The root between low and high; rises: whether the root is above m."""
+    return f"""(WITH RECURSIVE t(i, lo, hi) AS (SELECT 0, {low}::DOUBLE, {high}::DOUBLE UNION ALL
+  SELECT i + 1, CASE WHEN up THEN m ELSE lo END, CASE WHEN up THEN hi ELSE m END FROM (SELECT i, lo, hi, m, {rises} AS up FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m FROM t WHERE i < {steps}))) SELECT lo FROM t WHERE i = {steps})"""
+
+
+def binomial_root_sql(k: int, n: int, level: float) -> str:
+    """The chance of success with which k or fewer of n have the probability `level`."""
+    cdf = f"list_sum(list_transform(range({k + 1}), lambda x: exp(lgamma({n + 1}) - lgamma(x + 1) - lgamma({n + 1} - x) + x * ln(m) + ({n} - x) * ln(1 - m))))"
+    return bisected_sql(0.0, 1.0, f"{cdf} > {level}")
+
+
+def effect_sql(effect: float, sd: float, power: float) -> str:
+    z = z_of(0.05)
+    return f"ceil(({bisected_sql(0.0, 50.0, f'({phi_sql(f"(m - {z})")}) + ({phi_sql(f"(-m - {z})")}) < {power}')} * {sd} / {effect}) ** 2)::BIGINT"
+
+
+ERRORS = f"""SELECT round(sqrt(2 / 1000 * ln(2 / 0.1)), 5) + 0.0 AS dkw, round({binomial_root_sql(30, 100, 0.95)}, 5) + 0.0 AS low, round({binomial_root_sql(30, 100, 0.05)}, 5) + 0.0 AS high,
+  round(greatest({", ".join(f"abs({binomial_root_sql(k, 100, level)} - {m})" for k, m in ((30, 0.3), (70, 0.7)) for level in (0.025, 0.975))}), 5) + 0.0 AS worst"""
 query(
     lambda s, d: power.mean_power(docs(s, d), "quality", "yhat", 1.0, 0.05, budget=500),
     name="power_mean",
     sql=plan_sql("(SELECT least(corr(y, f), 1 - 1 / count(y)) FROM d WHERE y IS NOT NULL)", 500, None, 0, 1, 0.05, source=DOCS + ","),
 )
 query(lambda s, d: power.ols_power(orders(s, d), ["one", "x"], "price", "yhat_price", 0.0, 1.0, 0.1, 1, budget=200), name="power_ols", sql=plan_sql("(SELECT least(rho, 1 - 1 / k) FROM rho)", 200, None, 0, 1, 0.1, source=INFLUENCE))
-query(lambda s, d: power.glm_power(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", 0.0, 1.0, 0.1, 0, budget=200), name="power_logistic")
-query(lambda s, d: power.glm_power(orders(s, d), "poisson", ["one", "x"], "items", "yhat_items", 0.0, 1.0, 0.1, 0, budget=200), name="power_poisson")
-query(lambda s, d: s.createDataFrame([(power.size_for_effect(0.05, 0.5), power.size_for_effect(0.1, 0.5, 0.9))], "a long, b long"), name="size_for_effect")
-query(lambda s, d: s.createDataFrame([(dkw_error(1000, 0.1), *map(float, binomial_bounds(100, 0.1, 0.3)), float(max_binomial_error(100, 2, 0.1, [0.3, 0.7])))], "dkw double, low double, high double, worst double"), name="binomial_errors")
+query(lambda s, d: power.glm_power(docs(s, d), "logistic", ["one", "lx"], "quality", "yhat", 0.0, 1.0, 0.1, 0, budget=200), name="power_logistic", sql=plan_sql(influence_sql("logistic", "y", "f", DOCS), 200, None, 0, 1, 0.1))
+query(lambda s, d: power.glm_power(orders(s, d), "poisson", ["one", "x"], "items", "yhat_items", 0.0, 1.0, 0.1, 0, budget=200), name="power_poisson", sql=plan_sql(influence_sql("poisson", "items", "fi", ORDERS), 200, None, 0, 1, 0.1))
+query(lambda s, d: s.createDataFrame([(power.size_for_effect(0.05, 0.5), power.size_for_effect(0.1, 0.5, 0.9))], "a long, b long"), name="size_for_effect", sql=f"SELECT {effect_sql(0.05, 0.5, 0.8)} AS a, {effect_sql(0.1, 0.5, 0.9)} AS b")
+query(lambda s, d: s.createDataFrame([(dkw_error(1000, 0.1), *map(float, binomial_bounds(100, 0.1, 0.3)), float(max_binomial_error(100, 2, 0.1, [0.3, 0.7])))], "dkw double, low double, high double, worst double"), name="binomial_errors", sql=ERRORS)
 
 
 def replicates_sql(source: str, key: str, columns: str, n: int, tuning: int = 0, where: str = "true", whole: bool = True) -> str:
@@ -488,3 +538,20 @@ query(lambda s, d: experiment.weighted_sample(docs(s, d), 50, "n_chars", "doc_id
 query(lambda s, d: experiment.trial_grid(docs(s, d), "quality", "yhat", "doc_id", [50, 100], 20), name="trial_grid", sql=f"SELECT trial, n, method, {rounded('estimate, lower, upper, width')} FROM ({GRID})")
 query(lambda s, d: experiment.width_summary(experiment.trial_grid(docs(s, d), "quality", "yhat", "doc_id", [50, 100], 20)), name="width_summary", sql=f"SELECT method, n, round(avg(width), 5) + 0.0 AS width, count(*) AS trials FROM ({GRID}) GROUP BY method, n")
 query(lambda s, d: experiment.rejection_search(docs(s, d), "quality", "yhat", "doc_id", 0.7, 0.8, [25, 50, 100, 200], 20), name="power_search")
+
+
+def streamed(spark, d) -> DataFrame:
+    """The rectified mean price of order lines that arrive as a stream, every tenth order's being known."""
+    lines = load(spark, d, "lineitem")
+    known = F.when(F.col("l_orderkey") % 10 == 0, F.col("l_extendedprice") / 10000)
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/lineitem.parque[t]")  # a pattern may be a file or a folder
+    mean_ = StreamingMean("y", "yhat")
+    rows = stream.select(known.alias("y"), (F.col("l_quantity") * 0.148).alias("yhat"))
+    checkpoint = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.writeStream.foreachBatch(mean_.update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    estimate, se, lam = mean_.estimate()
+    return spark.createDataFrame([(int(mean_.total["n"]), int(mean_.total["big"]), lam, estimate, se)], "n long, n_unlabeled long, lam double, estimate double, se double")
+
+
+LINES = "d AS (SELECT CASE WHEN l_orderkey % 10 = 0 THEN l_extendedprice / 10000 END AS y, l_quantity * 0.148 AS f FROM lineitem)"
+query(streamed, name="streaming_mean", sql=f"SELECT n, n_unlabeled, {rounded('lam, estimate, se')} FROM ({mean_sql(source=LINES, columns=':lam, :estimate, :se')})")
