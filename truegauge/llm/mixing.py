@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, documents, free_of, stored
+from .common import SPACE, discard, documents, free_of, hash60, stored
 
 MAX_EPOCHS = 4.0
 SEED = 8191
@@ -43,7 +43,7 @@ def n_tokens() -> Column:
 
 def place(docs: DataFrame, *salts) -> Column:
     """A seeded hash of a row's doc_id and text; with it rows stand in a permutation."""
-    return F.xxhash64(*salts, "doc_id", *(["text"] if "text" in docs.columns else []))
+    return hash60(*salts, "doc_id", *(["text"] if "text" in docs.columns else []))
 
 
 def mixture(rows: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float | None = None, budget: float | None = None) -> Mixture:
@@ -127,14 +127,56 @@ def mixed(docs: DataFrame, max_epochs: float | None = MAX_EPOCHS, entropy: float
     discard(rows)
     out = docs.select(*rest).withColumn("_h", h).withColumn("_n", n_tokens() if "text" in docs.columns else F.lit(1)).join(sent(plan), F.expr("source <=> _source"))
     block = F.pmod("_h", "_blocks").cast("int")
-    broken = (block < F.col("_cut")) | ((block == F.col("_cut")) & (F.col("_h") <= F.coalesce("_cut_h", F.lit(-(2**63)))) & F.col("_cut_h").isNotNull())
+    broken = (block < F.col("_cut")) | ((block == F.col("_cut")) & (F.col("_h") <= F.coalesce("_cut_h", F.lit(-1))))
     copies = F.col("_whole") + F.when(broken, 1).otherwise(0)
     out = out.withColumn("epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)).otherwise(F.array().cast("array<int>"))))
     # the broken epoch, a source's last, takes blocks in order; whole epochs are dealt anew
-    order = F.when(F.col("epoch") < F.col("_whole"), place(docs, F.lit(seed), "epoch")).otherwise(F.col("_h"))
+    order = F.when(F.col("epoch") < F.col("_whole"), hash60(F.lit(seed), "epoch", "_h")).otherwise(F.col("_h"))
     out = out.withColumn("order", order)
     return out.select(*rest, F.col("_n").alias("n_tokens"), "epoch", F.pmod("order", "_blocks").cast("int").alias("block"), "order")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(documents(spark, sf_dir).select("doc_id", "source", "text")).drop("text")
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, greatest(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')), 1)::BIGINT AS n_tokens,
+         ('0x' || md5(concat_ws(':', '{SEED}', doc_id::VARCHAR, text))[1:15])::BIGINT AS h FROM documents
+), p AS (
+  SELECT source, tokens, n, tokens / sum(tokens) OVER () AS p FROM (SELECT source, sum(n_tokens)::DOUBLE AS tokens, count(*) AS n FROM docs GROUP BY source)
+), l AS (
+  SELECT list(struct_pack(p := p, tokens := tokens)) AS l FROM p
+), t(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, (CASE WHEN max(tokens) / min(tokens) <= {MAX_EPOCHS} * (1 + 1e-12) THEN 0 ELSE 1 END)::DOUBLE FROM p
+  UNION ALL SELECT i + 1, CASE WHEN ok THEN lo ELSE m END, CASE WHEN ok THEN m ELSE hi END FROM (
+    SELECT i, lo, hi, m, list_max(list_transform(l, lambda s: pow(s.p, m) / s.tokens)) / list_min(list_transform(l, lambda s: pow(s.p, m) / s.tokens)) <= {MAX_EPOCHS} * (1 + 1e-12) AS ok
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m FROM t WHERE i < {HALVINGS * JOBS}), l)
+), x AS (
+  SELECT p.*, pow(p, hi) AS x FROM p, t WHERE i = {HALVINGS * JOBS}
+), z AS (
+  SELECT *, sum(x) OVER () AS z FROM x
+), e AS (
+  SELECT source, tokens, n, max(tokens * z / x) OVER () * (x / z) / tokens AS e FROM z
+), w AS (
+  SELECT source, floor(e)::INTEGER AS whole, floor((e - floor(e)) * tokens) AS rest, least(ceil(n / {BLOCK_ROWS}.0), {MOST_BLOCKS})::BIGINT AS blocks
+  FROM (SELECT source, tokens, n, CASE WHEN abs(e - round(e)) < 1e-9 THEN round(e) ELSE e END AS e FROM e)
+), dealt AS (
+  SELECT d.*, whole, rest, blocks, h % blocks AS block FROM docs d JOIN w ON d.source IS NOT DISTINCT FROM w.source
+), upto AS (
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY block) AS upto FROM (SELECT source, block, sum(n_tokens) AS n, max(rest) AS rest FROM dealt GROUP BY source, block)
+), cut AS (
+  SELECT source, min(block) AS cut, arg_min(rest - upto + n, block) AS spare FROM upto WHERE upto > rest GROUP BY source
+), taken AS (
+  SELECT source, max(h) AS last FROM (
+    SELECT source, h, spare, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM (
+      SELECT d.source, h, sum(n_tokens) AS n, max(spare) AS spare FROM dealt d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source AND block = cut GROUP BY d.source, h)
+  ) WHERE upto <= spare GROUP BY source
+), copies AS (
+  SELECT d.*, whole + (block < cut OR block = cut AND h <= coalesce(last, -1))::INTEGER AS copies FROM dealt d JOIN cut c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN taken k ON d.source IS NOT DISTINCT FROM k.source
+), out AS (
+  SELECT *, CASE WHEN epoch < whole THEN ('0x' || md5(concat_ws(':', '{SEED}', epoch::VARCHAR, h::VARCHAR))[1:15])::BIGINT ELSE h END AS place FROM copies, unnest(range(copies)) u(epoch)
+)
+SELECT doc_id, source, n_tokens, epoch::INTEGER AS epoch, (place % blocks)::INTEGER AS block, place AS "order" FROM out
+"""
