@@ -22,5 +22,7 @@ ORACLE_SQL = {
     "op3_ngram_join": ngram_join.OP3_SQL,
     "op5_chat": chat.OP5_SQL,
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
+    "op7_mixing": mixing.OP7_SQL,
+    "op9_sharding": sharding.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
