@@ -21,16 +21,28 @@ THRESHOLD = 0.9
 BLOCK = 4096
 #: Rows of a tile that are multiplied at once.
 STRIP = 1024
-#: Over what the float operations on bounds and exact integer products can be off.
-SLACK = 1e-6
+#: Dimensions whose products of codes stay below 2^24.
+PART = (1 << 24) // 127**2
+#: Over what the float operations on bounds and exact integer products can be off: a few parts in 2^24 of numbers below 4.
+SLACK = 2e-6
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a b' of int8 codes. Float products of whole numbers are exact below 2^24, so dimensions go in parts that can't reach it, and their sums are rounded once."""
+    if a.shape[1] <= PART:
+        return a.astype(np.float32) @ b.astype(np.float32).T
+    out = np.zeros((len(a), len(b)))
+    for k in range(0, a.shape[1], PART):
+        out += a[:, k : k + PART].astype(np.float32) @ b[:, k : k + PART].astype(np.float32).T
+    return out.astype(np.float32)
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (whole numbers in -127..127, as float32 whose products stay exact), scales, and lengths of the errors."""
+    """Codes (int8, -127..127), scales, and lengths of the errors."""
     scale = np.abs(unit).max(axis=1) / 127
     codes = np.rint(unit / scale[:, None])
     error = np.linalg.norm(unit - codes * scale[:, None], axis=1)
-    return codes.astype(np.float32), scale, error
+    return codes.astype(np.int8), scale, error
 
 
 def links(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -44,10 +56,11 @@ def links(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple
     for at in range(0, len(left), STRIP):
         codes, scale, error = (x[at : at + STRIP] for x in a)
         first = at if right is None else 0
-        product = codes @ b[0][first:].T
+        product = exact_products(codes, b[0][first:])
+        # s s' q.q' + e' (1 + e) >= threshold - e, divided by s
         product *= b[1][first:].astype(np.float32)
-        least = (threshold - error - b[2].max() * (1 + error)) / scale
-        i, j = np.divmod(np.flatnonzero(product >= (least - SLACK / scale)[:, None].astype(np.float32)), product.shape[1])
+        product += np.multiply.outer(((1 + error) / scale).astype(np.float32), b[2][first:].astype(np.float32))
+        i, j = np.divmod(np.flatnonzero(product >= ((threshold - error - SLACK) / scale)[:, None].astype(np.float32)), product.shape[1])
         j = j + first
         if right is None:
             i, j = i[i + at < j], j[i + at < j]
