@@ -69,7 +69,7 @@ class Problem:
 
     def at(self, theta: np.ndarray) -> DataFrame:
         """The rows with _eta, _mu and _v. The coefficients are a row, not constants, so that all steps share one compiled plan."""
-        row = self.rows.sparkSession.createDataFrame([tuple(map(float, theta))], ", ".join(f"t{k} double" for k in range(self.d)))
+        row = self.rows.sparkSession.range(1).select(*[F.lit(float(t)).alias(f"t{k}") for k, t in enumerate(theta)])
         eta = sum((c * F.col(f"t{k}") for k, c in enumerate(self.x)), F.lit(0.0))
         t = self.rows.crossJoin(F.broadcast(row)).withColumn("_eta", eta)  # one row
         return t.withColumn("_mu", self.family.mean(F.col("_eta"))).withColumn("_v", self.family.variance(F.col("_eta")))
