@@ -24,6 +24,8 @@ WINDOW, MARGIN = 224, 16
 #: The model is fitted on so many rows of each language at most, whole texts, in windows of FIT_WINDOW bytes.
 FIT_DOCS = 128
 FIT_WINDOW = 64
+#: Parts in which a language's rows are ranked first.
+SALTS = 64
 #: Every window is drawn once at least; a small sample is drawn again up to so many steps, for each 4 languages.
 STEPS = 150
 BATCH = 256
@@ -182,8 +184,10 @@ def windows(texts: list[bytes], width: int = WINDOW, margin: int = MARGIN) -> tu
 def training_texts(docs: DataFrame) -> DataFrame:
     """(lang, text) of a bounded sample: of each language the FIT_DOCS rows with the smallest hashes; rows alike in doc_id and text are one."""
     known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text RLIKE '\\\\p{L}'").select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("_h", "doc_id", "_t"))
-    some = known.select("lang", "doc_id", "_h", "_t").distinct().withColumn("_rank", rank).where(F.col("_rank") <= FIT_DOCS)
+    rank = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy("_h", "doc_id", "_t"))
+    some = known.select("lang", "doc_id", "_h", "_t").distinct().withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    some = some.withColumn("_rank", rank("_salt")).where(F.col("_rank") <= FIT_DOCS)  # a part of a language at a time, then what is left of all parts
+    some = some.withColumn("_rank", rank()).where(F.col("_rank") <= FIT_DOCS)
     found = known.join(F.broadcast(some.select("lang", "doc_id", "_t")), ["lang", "doc_id", "_t"], "left_semi")  # FIT_DOCS rows of each language
     return found.dropDuplicates(["lang", "doc_id", "_t"]).select("lang", "text")
 
