@@ -2,7 +2,8 @@
 
 The rectified loss is lam * (unlabelled loss at yhat) + labelled loss at y - lam * (labelled loss at yhat). Its
 gradient needs the responses only through sums taken once; a step needs the sums of w x mu and of w v x x' by role,
-with mu and v of the current coefficients. A step that raises the loss is halved.
+with mu and v of the current coefficients. A step that raises the loss is halved. The sums don't depend on lam, so a
+fit that starts where gradients' spreads were taken, in the same pass, needs no pass of its own for its first step.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .rectify import SCHEMA, Spread, coefficient_rows, correlation, inverse, pow
 STEPS = 60
 #: A step this small leaves an error of its square; a fit at which only the weight is tuned may stop earlier.
 TOLERANCE, ROUGH = 1e-6, 1e-4
+#: Nor does it take a pass of its own to check, if the mean square move of linear predictors, weighted by variance, is below this, whatever the covariates' scale.
+SURE = 1e-6
 
 
 class Family(NamedTuple):
@@ -50,6 +53,7 @@ class Problem:
         self.rows = t.persist(StorageLevel.MEMORY_AND_DISK)
         self.x = [F.col(f"c{k}") for k in range(self.d)]
         self.f, self.y = F.col(f"c{self.d}"), F.col("y0")
+        self.last: tuple | None = None
         weight = F.col(f"c{self.d + 1}") if w is not None else F.lit(1.0)
         known = self.y.isNotNull()
         on = {"l": F.when(known, weight), "u": F.when(~known, weight)}
@@ -72,22 +76,32 @@ class Problem:
         row = self.rows.sparkSession.range(1).select(*[F.lit(float(t)).alias(f"t{k}") for k, t in enumerate(theta)])
         eta = sum((c * F.col(f"t{k}") for k, c in enumerate(self.x)), F.lit(0.0))
         t = self.rows.crossJoin(F.broadcast(row)).withColumn("_eta", eta)  # one row
-        return t.withColumn("_mu", self.family.mean(F.col("_eta"))).withColumn("_v", self.family.variance(F.col("_eta")))
+        return t.withColumn("_mu", self.family.mean(F.col("_eta"))).withColumn("_v", self.family.variance(F.col("_eta"))).withColumn("_b", self.family.potential(F.col("_eta")))
 
-    def step_sums(self, theta: np.ndarray) -> tuple[dict, dict, dict]:
+    def first_sums(self) -> list[Column]:
+        """By role: the sums of w * potential and of w x mu."""
+        return [F.sum(on * c) for on in self.on.values() for c in (F.col("_b"), *[F.col("_mu") * c for c in self.x])]
+
+    def sums_of(self, first: np.ndarray, curvature: list[np.ndarray]) -> tuple[dict, dict, dict]:
         """By role: the sums of w * potential, of w x mu, and of w v x x'."""
-        t = self.at(theta).withColumn("_b", self.family.potential(F.col("_eta")))
-        out = []
-        for on in self.on.values():
-            out += [F.sum(on * F.col("_b"))] + [F.sum(on * F.col("_mu") * c) for c in self.x] + [F.sum(on * F.col("_v") * a * b) for a, b in pairs_of(self.x, 2)]
-        r = np.array([0.0 if v is None else v for v in t.agg(*[c.alias(f"s{k}") for k, c in enumerate(out)]).first()]).reshape(2, -1)
-        hess = {}
-        for role, row in zip("lu", r, strict=True):
-            h = np.zeros((self.d, self.d))
-            for (i, j), v in zip(pairs_of(range(self.d), 2), row[1 + self.d :], strict=True):
-                h[i, j] = h[j, i] = v
-            hess[role] = h
-        return {"l": r[0, 0], "u": r[1, 0]}, {"l": r[0, 1 : 1 + self.d], "u": r[1, 1 : 1 + self.d]}, hess
+        b, m = first.reshape(2, -1)[:, 0], first.reshape(2, -1)[:, 1:]
+        return dict(zip("lu", b, strict=True)), dict(zip("lu", m, strict=True)), dict(zip("lu", curvature, strict=True))
+
+    def totals(self, theta: np.ndarray, sums: list[Column]) -> np.ndarray:
+        r = self.at(theta).agg(*[c.alias(f"s{k}") for k, c in enumerate(sums)]).first()
+        return np.array([0.0 if v is None else v for v in r])
+
+    def step_sums(self, theta: np.ndarray) -> tuple[dict, dict, dict]:
+        if self.last is None or not np.array_equal(self.last[0], theta):
+            first = self.first_sums()
+            r = self.totals(theta, first + [F.sum(on * F.col("_v") * a * b) for on in self.on.values() for a, b in pairs_of(self.x, 2)])
+            upper, curvature = np.triu_indices(self.d), []
+            for row in r[len(first) :].reshape(2, -1):
+                h = np.zeros((self.d, self.d))
+                h[upper] = row
+                curvature.append(h + np.triu(h, 1).T)
+            self.last = theta, self.sums_of(r[: len(first)], curvature)
+        return self.last[1]
 
     def fit(self, lam: float, start: np.ndarray | None = None, tolerance: float = TOLERANCE) -> tuple[np.ndarray, bool]:
         """The minimiser at lam, and whether the steps converged."""
@@ -103,6 +117,8 @@ class Problem:
         loss, grad, hess = told(at)
         for _ in range(STEPS):
             step = np.linalg.lstsq(hess, grad, rcond=None)[0]
+            if np.abs(step).max() <= tolerance * (1 + np.abs(at).max()) and abs(float(grad @ step)) <= SURE:
+                return at - step, True
             size = 1.0
             while True:
                 new = at - size * step
@@ -118,7 +134,6 @@ class Problem:
 
     def spread(self, theta: np.ndarray, unlabelled: bool = True, rectifier_alone: bool = False) -> Spread:
         """Gradient moments and curvature at theta, in one pass; rectifier_alone: g is then x (yhat - y)."""
-        t = self.at(theta)
         g = [self.on["l"] * c * (self.f - self.y if rectifier_alone else F.col("_mu") - self.y) for c in self.x]
         ghat = [self.on["l"] * c * (F.col("_mu") - self.f) for c in self.x]
         ghat_u = [self.on["u"] * c * (F.col("_mu") - self.f) for c in self.x]
@@ -127,9 +142,10 @@ class Problem:
             out += [F.covar_pop(p[i], q[j]) for i in d for j in d]
         out += [F.sum(on * F.col("_v") * p * q) for on in self.on.values() for p in self.x for q in self.x]
         out += [F.avg(c) for c in (*ghat, *ghat_u)]
-        r = np.array([0.0 if v is None else v for v in t.agg(*[c.alias(f"s{k}") for k, c in enumerate(out)]).first()])
+        r = self.totals(theta, out + self.first_sums())
         *m, known, other = r[: 6 * self.d**2].reshape(6, self.d, self.d)
-        means = r[6 * self.d**2 :].reshape(2, self.d)
+        means = r[6 * self.d**2 : len(out)].reshape(2, self.d)
+        self.last = theta, self.sums_of(r[len(out) :], [known, other])
         both = unlabelled and self.big
         hessian = (known + other) / (self.n + self.big) if both else known / self.n
         return Spread(self.n, self.big if both else 0, *m, *means, hessian)
