@@ -1,13 +1,14 @@
 """Resampling, predict-then-debias, linear fits of any width and trials, against array formulas and coverage levels."""
 
 import math
+import statistics
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from truegauge.operators import baselines, cross, experiment, glm, linear, mean, ptd, quantile, resample
+from truegauge.operators import baselines, cross, experiment, glm, labelshift, linear, mean, ptd, quantile, resample
 from truegauge.streaming.means import StreamingMean
 
 
@@ -123,6 +124,62 @@ def test_postprediction_recovers(spark):
     assert all(abs(c.estimate - b) < 0.1 and 0.015 < c.se < 0.035 for c, b in zip(r, (1.0, -0.5), strict=True))
 
 
+def test_debiased_quantile_is_a_bootstrap_of_three(spark):
+    rng = np.random.default_rng(12)
+    y = rng.exponential(size=1200)
+    f, known, q = y + 0.3 * rng.normal(size=1200) + 0.2, np.arange(1200) < 250, 0.7
+    df = table(spark, known, y=y, f=f, one=np.ones(1200))
+    got = ptd.ptd_quantile(df, q, "y", "f", n_resamples=600, tuning=None).first()
+    at = lambda v: np.quantile(v, q)
+    assert np.isclose(got.estimate, at(y[known]) + at(f[~known]) - at(f[known]))
+    draws = []
+    for _ in range(600):
+        pick = rng.integers(0, 1200, 1200)
+        a, u = pick[pick < 250], pick[pick >= 250]
+        draws.append(at(y[a]) + at(f[u]) - at(f[a]))
+    low, high = np.quantile(draws, [0.025, 0.975])
+    width = high - low
+    assert abs(got.lower - low) < 0.2 * width and abs(got.upper - high) < 0.2 * width
+    tuned = ptd.ptd_quantile(df, q, "y", "f", n_resamples=600).first()
+    assert 0 < tuned.tuning <= 1.3 and tuned.upper - tuned.lower < 1.1 * width and tuned.lower < np.quantile(y, q) < tuned.upper
+    # equal weights interpolate between the middles of the rows' shares
+    even = ptd.ptd_quantile(df, q, "y", "f", w="one", n_resamples=20, tuning=None).first()
+    middle = lambda v: np.interp(q, (np.arange(len(v)) + 0.5) / len(v), np.sort(v))
+    assert np.isclose(even.estimate, middle(y[known]) + middle(f[~known]) - middle(f[known]))
+
+
+def test_label_shift_bounds_by_sums(spark):
+    rng = np.random.default_rng(13)
+    y = rng.integers(0, 2, 500)
+    f = np.where(rng.random(500) < 0.85, y, 1 - y)
+    known = np.arange(500) < 120
+    df = spark.createDataFrame([(int(a) if k else None, int(b)) for a, b, k in zip(y, f, known, strict=True)], "y int, f int")
+    table_of = np.array([[((f == i) & (y == j) & known).sum() for j in (0, 1)] for i in (0, 1)])
+    n, matrix = table_of.sum(axis=0), table_of / table_of.sum(axis=0)
+    big = int((~known).sum())
+    frequency = np.array([(f[~known] == i).mean() for i in (0, 1)])
+    estimate, delta = float(np.linalg.solve(matrix, frequency)[1]), 0.1
+    below = lambda k, m, p: math.fsum(math.comb(m, i) * p**i * (1 - p) ** (m - i) for i in range(k + 1))
+
+    def solved(fn, low=0.0, high=1.0):
+        for _ in range(80):
+            mid = (low + high) / 2
+            low, high = (mid, high) if fn(mid) > 0 else (low, mid)
+        return low
+
+    wave = lambda a: math.sqrt(2 / big * math.log(2 / a))
+    normal = statistics.NormalDist().inv_cdf
+    share = solved(lambda s: normal(1 - s * delta / 8) / math.sqrt(n.min()) - wave((1 - s) * delta) if 0 < s < 1 else 1.0)
+    errors = []
+    for j in (0, 1):
+        for i in (0, 1):
+            k, m, tail = int(table_of[i, j]), int(n[j]), share * delta / 2 / 2
+            errors += [abs(solved(lambda p: below(k, m, p) - level) - k / m) for level in (tail, 1 - tail)]  # noqa: B023
+    off = max(errors) + wave((1 - share) * delta)
+    got = labelshift.shifted_ci(df, "y", "f", 2, [0, 1], counts=False).first()
+    assert np.allclose([got.estimate, got.lower, got.upper], [estimate, max(0, estimate - off), min(1, estimate + off)], atol=1e-6)
+
+
 def test_maritz_jarrett_centre(spark):
     v = np.random.default_rng(8).normal(size=200)
     r = baselines.maritz_jarrett_ci(spark.createDataFrame([(float(a),) for a in v], "y double"), "y", 0.25).first()
