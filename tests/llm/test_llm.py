@@ -368,6 +368,23 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.3, 10.0])
+def test_tiles_left_out_hold_no_link(spark, spread):
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(12, 8))[rng.integers(0, 12, 300)] + rng.normal(size=(300, 8)) * spread
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, i, x, len(x)) for i, x in enumerate(v.tolist())] + [(300, 300, [1.0, 0.0], 2), (301, 301, [1.0, 0.1], 2)]
+    table = spark.createDataFrame(rows, "_k long, _l long, e array<double>, dim int")
+    tiles = {}
+    for r in embedding_dedup.in_tiles(table, 0.9, 20).collect():
+        tiles.setdefault((r.lo, r.hi), []).append((r._k, r.block))
+    assert all(len(x) <= 40 for x in tiles.values())
+    met = Counter(frozenset((a, b)) for (lo, hi), x in tiles.items() for (a, i), (b, j) in itertools.combinations(x, 2) if lo == hi or i != j)
+    assert set(met.values()) == {1} and met[frozenset((300, 301))] == 1
+    assert all(frozenset((i, j)) in met for i, j in np.argwhere(np.triu(unit @ unit.T, 1) >= 0.9).tolist())
+    assert spread > 1 or len(met) < 302 * 301 / 2 * (0.25 if spread < 0.1 else 0.8)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(9)
     u = rng.normal(size=(200, 32)) * np.exp(rng.normal(size=(200, 32)) * 2)

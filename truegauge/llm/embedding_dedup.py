@@ -3,18 +3,26 @@
 A unit vector u is held as codes q (int8) and a scale s, with the exact length e of u - s q. For two of them,
 u.v differs from s s' q.q' by at most e + e' + e e', whatever the vectors; so only pairs whose code product comes
 within that of the threshold can reach it, and those are computed again in double precision.
+
+Tiles that can't hold a link are left out. Every vector has the cell of its nearest pivot, and blocks are cut from the
+vectors in order of cells. If y is nearer to the pivot q than to x's own p, then x's angle to the plane between p and q
+is a lower bound of that between x and y; so x goes only to the blocks of cells whose plane is within the threshold's
+angle. This holds for any vectors and pivots; how much it leaves out depends on how clustered the vectors are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_of, stored
+from .common import free_of, row_ids, stored
 from .components import components
+from .sharding import starts
 from .tiles import roots, tiled
 
 THRESHOLD = 0.9
@@ -25,6 +33,10 @@ STRIP = 1024
 PART = (1 << 24) // 127**2
 #: Over what the float operations on bounds and exact integer products can be off: a few parts in 2^24 of numbers below 4.
 SLACK = 2e-6
+#: Pivots for each block, and of all at most: with distances, some 16 MB for 1,024 dimensions. More would only leave out more tiles.
+PIVOTS, MOST_PIVOTS = 8, 1024
+#: What angles to planes between pivots may be off, and pivots nearer to each other than CLOSE have no plane to tell by.
+ANGLE_SLACK, CLOSE = 1e-9, 1e-2
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -69,6 +81,94 @@ def links(left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def units(e: pd.Series) -> np.ndarray:
+    x = np.stack(e.to_numpy()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def chained(p: np.ndarray) -> np.ndarray:
+    """The rows of p, each followed by the nearest of those left, so that a block with several cells holds near ones."""
+    order, left = [0], np.ones(len(p), dtype=bool)
+    left[0] = False
+    while left.any():
+        order.append(int(np.where(left, p @ p[order[-1]], -2).argmax()))
+        left[order[-1]] = False
+    return p[order]
+
+
+class Cells:
+    """Numbered cells around pivots. A vector is in the cell of the nearest pivot of its dimension; without one, in the last cell."""
+
+    def __init__(self, pivots: pd.Series):
+        self.n, self.of = 0, {}
+        for dim, e in sorted(pivots.groupby(pivots.map(len)), key=lambda g: g[0]):
+            p = chained(units(e))
+            apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
+            self.of[dim] = self.n, p, apart
+            self.n += len(p)
+
+    def strips(self, e: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Dimensions, places and products with the pivots of at most STRIP vectors of one dimension that has pivots."""
+        size = e.map(len).to_numpy()
+        for dim in set(size) & set(self.of):
+            every = np.flatnonzero(size == dim)
+            for k in range(0, len(every), STRIP):
+                at = every[k : k + STRIP]
+                yield dim, at, units(e.iloc[at]) @ self.of[dim][1].T
+
+    def home(self, e: pd.Series) -> np.ndarray:
+        out = np.full(len(e), self.n, dtype=np.int32)
+        for dim, at, dots in self.strips(e):
+            out[at] = self.of[dim][0] + dots.argmax(axis=1)
+        return out
+
+    def reached(self, e: pd.Series, home: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of vectors, and for each a row of flags: the cells that may hold vectors with a cosine of threshold or more."""
+        sine = np.sqrt(1 - (threshold - ANGLE_SLACK) ** 2) + ANGLE_SLACK
+        for dim, at, dots in self.strips(e):
+            first, _, apart = self.of[dim]
+            own = home[at] - first
+            flags = np.zeros((len(at), self.n + 1), dtype=bool)
+            flags[:, first : first + dots.shape[1]] = (dots[np.arange(len(at)), own][:, None] - dots <= sine * apart[own]) | (apart[own] < CLOSE)
+            yield at, flags
+        last = np.flatnonzero(home == self.n)
+        yield last, np.broadcast_to(np.arange(self.n + 1) == self.n, (len(last), self.n + 1))
+
+
+def in_tiles(classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """classes (_k, _l, e, ...) once for each tile in which they may meet a link, with lo, hi and block."""
+    spark = classes.sparkSession
+    blocks = -(-classes.count() // block) or 1
+    cells = Cells(pd.Series([np.array(r.e) for r in classes.orderBy("_k", "_l").select("e").limit(min(PIVOTS * blocks, MOST_PIVOTS)).collect()], dtype=object))
+    sent = spark.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("int")
+    def home(e: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.home(e))
+
+    table = stored(row_ids(classes.withColumn("cell", home("e")), "cell", "_k", "_l"), "cells")
+    number = F.col("_before") + F.col("_at") - F.col("_lo")
+    placed = table.join(F.broadcast(starts(table.select("_part", "_at"))), "_part").withColumn("block", F.floor(number / block).cast("int")).drop("_part", "_at", "_lo", "_rows", "_before")
+    lo, hi = np.zeros((2, cells.n + 1), dtype=np.int64) + [[0], [-1]]
+    for r in placed.groupBy("cell").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).collect():
+        lo[r.cell], hi[r.cell] = r.lo, r.hi
+
+    @F.pandas_udf("array<int>")
+    def others(e: pd.Series, cell: pd.Series) -> pd.Series:
+        out, made = np.empty(len(e), dtype=object), {}
+        for at, flags in sent.value.reached(e, cell.to_numpy(), threshold):
+            for k, f in zip(at, flags, strict=True):
+                if (key := f.tobytes()) not in made:
+                    size = (hi - lo + 1)[f]
+                    every = np.repeat(lo[f] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    made[key] = every[np.diff(every, prepend=-1) > 0].astype(np.int32)  # a block can hold the end of a cell and the next one's start
+                out[k] = made[key]
+        return pd.Series(out)
+
+    return tiled(placed, others("e", "cell")).drop("cell")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vectors (vec_id, embedding, ...) without embedding, with n_links, component_id and kept.
 
@@ -85,14 +185,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     told = told.withColumn("_k", F.when(F.col("_e").isNotNull(), F.xxhash64("_e"))).withColumn("_l", F.when(F.col("_e").isNotNull(), F.xxhash64(F.lit(1), "_e")))
     classes = told.where("_e IS NOT NULL").groupBy("_k", "_l").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("_e").alias("e"))
     classes = stored(classes.withColumn("dim", F.size("e")), "classes")
-    blocks = -(-classes.count() // block) or 1
-    placed = classes.withColumn("block", F.pmod(F.xxhash64("_k", "_l"), F.lit(blocks)).cast("int")).withColumn("blocks", F.lit(blocks))
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("block", kind="stable")
-        x = np.stack(g.e.to_numpy()).astype(np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square leaves the range of doubles
-        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        unit = units(g.e)
         cut = int((g.block == g.lo.iloc[0]).sum())
         i, j = links(unit, None, threshold) if g.lo.iloc[0] == g.hi.iloc[0] else links(unit[:cut], unit[cut:], threshold)
         if g.lo.iloc[0] != g.hi.iloc[0]:
@@ -103,7 +199,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         hit = count > 0
         return pd.DataFrame({"_k": g._k[hit], "_l": g._l[hit], "rep": rep[hit], "root": rep[root[hit]], "links": count[hit].astype(np.int64)})
 
-    found = tiled(placed).groupBy("dim", "lo", "hi").applyInPandas(compare, "_k long, _l long, rep long, root long, links long")
+    found = in_tiles(classes, threshold, block).groupBy("dim", "lo", "hi").applyInPandas(compare, "_k long, _l long, rep long, root long, links long")
     found = stored(found, "links")
     copies = told.where("_e IS NOT NULL").select("vec_id", "_k", "_l").join(classes.where("n > 1").select("_k", "_l", "rep"), ["_k", "_l"])
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(copies.select("vec_id", "rep")))
