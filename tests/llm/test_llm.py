@@ -206,6 +206,51 @@ def test_join_in_tiles_is_whole(spark, monkeypatch):
     test_near_copies(spark, 3, 90)
 
 
+def test_a_shared_phrase_connects_nothing(spark, monkeypatch):
+    seen, one = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda edges: seen.append(edges.count()) or one(edges))
+    # of eight shingles, all of them first ones, each text has one that all texts have
+    rows = [(i, "all have this " + " ".join(f"w{i}x{k}" for k in range(7))) for i in range(60)]
+    out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id and r.n_shingles == 8 for r in out) and len(out) == 60
+    assert seen[0] == 0
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_texts_of_frequent_shingles_only(spark, monkeypatch, width, percent):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 2)
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in range(120):
+        w = list("abc"[j] for j in rng.integers(0, 3 if k % 2 else 2, rng.integers(1, 40)))
+        rows.append(" ".join(w))
+        w[rng.integers(0, len(w))] = "abcd"[rng.integers(0, 4)]
+        rows += [" ".join(w), " ".join(w[:-1]), " ".join([*w, f"own{k}"])]
+    table = list(enumerate(rows))
+    want = brute_components(table, width, percent)
+    out = ngram_join.ngram_join(spark.createDataFrame(table, "doc_id long, text string"), width, percent).collect()
+    assert {r.doc_id: r.component_id for r in out} == want and 1 < len(set(want.values())) < len(want)
+
+
+def test_sketch_of_packed_slots():
+    rng = np.random.default_rng(18)
+    s = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    s = np.concatenate([s, s[:300], np.repeat(s[:2], 700)])
+    for bits in (20, ngram_join.SKETCH_BITS):
+        counts, width = np.zeros(1 << bits, dtype=np.int64), (1 << bits) // ngram_join.SLICES
+        for k, packed in ngram_join.packed_slots(ngram_join.slots_of(s, ngram_join.SKETCH_BITS).astype(np.uint32)):
+            counts[k * width : (k + 1) * width] += np.bincount(ngram_join.unpacked_slots(packed) >> ngram_join.SKETCH_BITS - bits, minlength=width)
+        assert (counts == np.bincount(ngram_join.slots_of(s, bits), minlength=1 << bits)).all()
+    sketch = ngram_join.Sketch(2**31)
+    assert sketch.bits == ngram_join.SKETCH_BITS and sketch.step == 2
+    counts = np.arange(1 << 20)
+    codes = ngram_join.Sketch.coded(counts, sketch.step)
+    assert (np.diff(codes.astype(int)) >= 0).all() and codes[-1] < 255
+    sketch.codes[: len(counts)] = codes
+    about = sketch.about(counts.astype(np.uint64))
+    assert (about <= counts).all() and (about[256:] * 1.1 > counts[256:]).all()
+
+
 def test_tile_links_are_all():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 120).astype(np.uint64)

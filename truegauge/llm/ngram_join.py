@@ -5,8 +5,10 @@ the first n - ceil(t n) + l of their shingles in any common order; the order her
 documents has counted a shingle, rarest first. The shingles there with two or more sets are index lists.
 
 * Equal sets are one set: their answers are the same.
-* Index lists say which sets may have to do with each other: those that meet l times in short lists, after the bounds
-  on size and position, or once in a long one. The groups that this connects are regions.
+* Index lists say which sets may have to do with each other. After the bounds on size and position, linked sets meet l
+  times. In long lists they meet no oftener than either has shingles there, so the rest of the l must be met in short
+  ones. Only sets with l shingles or more in long lists may meet there alone, and then in one of the first of these: just
+  such sets are connected by a long list. The groups that this connects are regions.
 * A region is compared tile by tile, and every link comes out of a tile: its index lists are cut into blocks by
   position, skipped whole where no entry can reach the threshold; and where a set differs little from one whose
   overlaps with all others are known, its own follow from these by the shingles that differ.
@@ -35,10 +37,13 @@ from .tiles import roots, tiled
 
 WORDS = 3
 PERCENT = 90
-#: Counters of the sketch that orders shingles, and of slices it travels in. Only speed depends on them.
-SKETCH = 1 << 20
+#: Most and fewest bits of the numbers of the counters that order shingles, how many shingles a counter should get, and
+#: the slices that counters travel in. Only speed depends on them.
+SKETCH_BITS, LEAST_BITS, LOAD = 25, 20, 32
 SLICES = 64
-#: Lists of more sets than this connect all of them; in shorter ones sets have to meet MEETINGS times.
+#: Slots that a task collects before it sends them.
+SLOTS = 1 << 22
+#: Lists of more sets than this are long: they connect sets that may meet in such lists alone.
 LONG_LIST = 16
 #: A shingle that the sketch has counted oftener than this has its list dealt out to several tasks, by set.
 HOT_LIST = 4096
@@ -102,29 +107,81 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
-def summed_slices(parts: DataFrame) -> np.ndarray:
-    """The sum of sketches that tasks made, as rows (task, slice, counts); at most SKETCH numbers reach the driver."""
+def slots_of(s: np.ndarray, bits: int) -> np.ndarray:
+    """The counters of shingles in a sketch of 2^bits: neighbours in a larger sketch share one in a smaller."""
+    return (s % np.uint64(1 << SKETCH_BITS) >> np.uint64(SKETCH_BITS - bits)).astype(np.int64)
+
+
+#: Slots of a slice, and how many of these differ in their lowest byte only.
+SLICE_BITS = SKETCH_BITS - (SLICES - 1).bit_length()
+PAGES = 1 << SLICE_BITS - 8
+
+
+def packed_slots(slots: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(slice, bytes) of slots, repeated ones too: how many each page of 256 has, then their lowest bytes."""
+    slots = np.sort(slots)
+    ends = np.searchsorted(slots, np.arange(SLICES + 1) << SLICE_BITS)
+    for k in np.flatnonzero(np.diff(ends)):
+        own = slots[ends[k] : ends[k + 1]]
+        pages = np.bincount(own >> 8 & PAGES - 1, minlength=PAGES).astype(np.uint32)
+        yield int(k), pages.tobytes() + (own & 255).astype(np.uint8).tobytes()
+
+
+def unpacked_slots(packed: bytes) -> np.ndarray:
+    """The slots in a slice, from their bytes."""
+    pages = np.frombuffer(packed, dtype=np.uint32, count=PAGES)
+    return np.repeat(np.arange(PAGES) << 8, pages) | np.frombuffer(packed, dtype=np.uint8, offset=4 * PAGES)
+
+
+class Sketch:
+    """How often shingles occur, in a byte a counter: in steps of `step` up to 127 of them, then in eighths of a doubling."""
+
+    def __init__(self, shingles: int):
+        self.bits = min(max(LEAST_BITS, (shingles // LOAD).bit_length()), SKETCH_BITS)
+        self.step = max(1, (shingles >> self.bits) // LOAD)
+        self.codes = np.zeros(1 << self.bits, dtype=np.uint8)
+
+    @staticmethod
+    def coded(counts: np.ndarray, step: int) -> np.ndarray:
+        q = counts // step
+        return np.where(q < 128, q, np.minimum(128 + 8 * np.log2(np.maximum(q, 128) / 128), 255)).astype(np.uint8)
+
+    def order(self, s: np.ndarray) -> np.ndarray:
+        return self.codes[slots_of(s, self.bits)]
+
+    def about(self, s: np.ndarray) -> np.ndarray:
+        """The counts themselves, rounded down."""
+        c = np.arange(256)
+        return np.where(c < 128, c * self.step, 128 * self.step * 2.0 ** ((c - 128) / 8)).astype(np.int64)[self.order(s)]
+
+
+def summed_slices(parts: DataFrame, shingles: int) -> Sketch:
+    """The sketch of that many shingles, from rows (task, slice, packed slots); at most 2^SKETCH_BITS bytes reach the driver."""
+    out = Sketch(shingles)
+    size, fold, step = len(out.codes) // SLICES, SKETCH_BITS - out.bits, out.step
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH // SLICES, dtype=np.uint64)
+        total = np.zeros(size, dtype=np.uint64)
         for c in g.counts:
-            total += np.frombuffer(c, dtype=np.uint32)
-        capped = np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32)
-        return pd.DataFrame({"task": [0], "slice": [g.slice.iloc[0]], "counts": [capped.tobytes()]})
+            total += np.bincount(unpacked_slots(c) >> fold, minlength=size).astype(np.uint64)
+        return pd.DataFrame({"slice": [g.slice.iloc[0]], "counts": [np.minimum(total, np.uint64(2**32 - 1)).astype(np.uint32).tobytes()]})
 
-    schema = "task int, slice int, counts binary"
+    def coded(g: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, dtype=np.uint32).astype(np.int64) for c in g.counts)
+        return pd.DataFrame({"slice": [g.slice.iloc[0]], "counts": [Sketch.coded(total, step).tobytes()]})
+
+    schema = "slice int, counts binary"
     some = parts.groupBy("slice", F.expr("task div 256")).applyInPandas(add, schema)
-    out = np.zeros((SLICES, SKETCH // SLICES), dtype=np.uint32)
-    for r in some.groupBy("slice").applyInPandas(add, schema).collect():
-        out[r.slice] = np.frombuffer(r.counts, dtype=np.uint32)
-    return out.reshape(-1)
+    for r in some.groupBy("slice").applyInPandas(coded, schema).collect():
+        out.codes[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.counts, dtype=np.uint8)
+    return out
 
 
 INNER = ("_n", "_s1", "_s2", "_task", "_slice", "_counts")
 
 
 def read_sets(docs: DataFrame, words: int) -> DataFrame:
-    """The columns of docs but text, with each document's set's size and identity; and, for each task, slices of the sketch of all its shingles."""
+    """The columns of docs but text, with each document's set's size and identity; and, for each task, packed slots of all its shingles by slice."""
     rest = [c for c in docs.columns if c != "text"]
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in rest] + T._parse_datatype_string("_n long, _s1 long, _s2 long, _task int, _slice int, _counts binary").fields)
     kinds = [to_arrow_type(f.dataType) for f in schema]
@@ -132,35 +189,43 @@ def read_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        sketch, task = np.zeros(SKETCH, dtype=np.uint32), TaskContext.get().partitionId()
+        task, slots, held = TaskContext.get().partitionId(), [], 0
+
+        def sent() -> pa.RecordBatch:
+            full = list(packed_slots(np.concatenate(slots)))
+            about = [pa.array([task] * len(full), pa.int32()), pa.array([k for k, _ in full], pa.int32()), pa.array([c for _, c in full], pa.binary())]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in kinds[:-3]), *about], names=schema.names)
+
         for b in batches:
             rows = []
             for text in b.column("text").to_pylist():
                 s = shingles(text or "", words)
                 rows.append((len(s), *identity(s)))
-                np.add.at(sketch, s % np.uint64(SKETCH), 1)
+                slots.append(slots_of(s, SKETCH_BITS).astype(np.uint32))
+                held += len(s)
+                if held >= SLOTS:
+                    yield sent()
+                    slots, held = [], 0
             found = np.array(rows, dtype=np.int64).reshape(-1, 3).T
             none = [pa.nulls(len(rows), t) for t in kinds[-3:]]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *map(pa.array, found), *none], schema=pa.schema(list(zip(schema.names, [*(b.column(c).type for c in rest), *kinds[-6:]], strict=True))))
-        cut = sketch.reshape(SLICES, -1)
-        full = [k for k in range(SLICES) if cut[k].any()]
-        about = [pa.array([task] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([cut[k].tobytes() for k in full], pa.binary())]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(full), t) for t in kinds[:-3]), *about], names=schema.names)
+        if held:
+            yield sent()
 
     return docs.mapInArrow(run, schema)
 
 
-def first_shingles(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
+def first_shingles(s: np.ndarray, sketch: Sketch, percent: int) -> np.ndarray:
     """The prefix of a set in the common order: by the sketch's count, then by hash."""
     p = prefix_length(len(s), percent, MEETINGS)
-    often = sketch[s % np.uint64(SKETCH)]
+    often = sketch.order(s)
     if p < len(s):
         few = often <= np.partition(often, p - 1)[p - 1]
         s, often = s[few], often[few]
     return s[np.lexsort((s, often))[:p]]
 
 
-def index_entries(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
+def index_entries(docs: DataFrame, sketch: Sketch, words: int, percent: int) -> DataFrame:
     """(token, salts, salt, s1, n, pos): each set's first shingles in the common order; a hot shingle's list is in `salts` parts. A task leaves out equal sets that it has just had."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
     names = ["token", "salts", "salt", "s1", "n", "pos"]
@@ -182,37 +247,54 @@ def index_entries(docs: DataFrame, sketch: np.ndarray, words: int, percent: int)
             s1, n, p = np.array(rows, dtype=np.int64).reshape(-1, 3).T
             pos = np.concatenate([np.arange(k) for k in p]) if len(p) else p
             token, s1 = np.concatenate(tokens), np.repeat(s1, p)
-            salts = 1 + sent.value[token % np.uint64(SKETCH)].astype(np.int64) // HOT_LIST
+            salts = 1 + sent.value.about(token) // HOT_LIST
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(token), salts, np.mod(s1, salts), s1, np.repeat(n, p), pos)], names=names)
 
     return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def index_lists(entries: DataFrame) -> DataFrame:
-    """(token, salts, s1, n, pos, first, sets): entries of lists with two sets or more, with a list's first set and its length; a part of a hot list always."""
+    """(token, salt, s1, n, pos, frequent): entries of lists with two sets or more; a hot list, all parts of it, is long whatever its length."""
     w = W.partitionBy("token", "salt")
     some = entries.withColumn("_lo", F.min("s1").over(w)).withColumn("_hi", F.max("s1").over(w)).where("_lo < _hi OR salts > 1")
     once = some.groupBy("token", "salt", "salts", "s1", "n").agg(F.min("pos").alias("pos"))
-    return once.withColumn("first", F.min("s1").over(w)).withColumn("sets", F.count(F.lit(1)).over(w)).drop("salt")
+    return once.withColumn("frequent", (F.col("salts") > 1) | (F.count(F.lit(1)).over(w) > LONG_LIST)).drop("salts")
+
+
+def least_meetings(n: str, percent: int) -> str:
+    """How often sets, the smaller of n shingles, meet at least if they link."""
+    return f"least({MEETINGS}, ({percent} * {n} + 99) div 100)"
 
 
-def long_lists(index: DataFrame) -> DataFrame:
-    """(a, b): edges that connect the sets of each long list; parts of hot lists are connected by their first sets."""
-    stars = index.where(f"salts > 1 OR sets > {LONG_LIST}").where("s1 <> first").select(F.col("s1").alias("a"), F.col("first").alias("b"))
-    parts = index.where("salts > 1").groupBy("token", F.col("first").alias("a")).agg(F.lit(1))
+def long_lists(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that connect the sets of each long list which may meet in long lists alone.
+
+    Such sets have as many shingles in long lists as linked sets meet, with the smallest set that they may link with; the
+    first shingle that both have is followed by all but one of these. Parts of hot lists are connected by their first sets.
+    """
+    own = W.partitionBy("s1")
+    entries = index.where("frequent").withColumn("_all", F.count(F.lit(1)).over(own)).withColumn("_at", F.row_number().over(own.orderBy("pos")))
+    met = F.expr(least_meetings(f"(({percent} * n + 99) div 100)", percent))
+    first = entries.where(F.col("_at") <= F.col("_all") - met + 1).withColumn("first", F.min("s1").over(W.partitionBy("token", "salt")))
+    stars = first.where("s1 <> first").select(F.col("s1").alias("a"), F.col("first").alias("b"))
+    parts = first.groupBy("token", F.col("first").alias("a")).agg(F.lit(1))
     ends = parts.groupBy("token").agg(F.min("a").alias("b"))
     return stars.union(parts.join(ends, "token").where("a <> b").select("a", "b"))
 
 
 def short_list_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets that meet often enough in short lists."""
-    short = index.where(f"salts = 1 AND sets <= {LONG_LIST}")
+    """(a, b): sets that meet in short lists, and often enough with what they may meet in long ones."""
+    short = index.where("NOT frequent")
     a, b = short.alias("a"), short.alias("b")
     least = f"({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent}"
     bounds = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) AND least(a.pos, b.pos) + least(a.n - a.pos, b.n - b.pos) >= {least}"
     met = a.join(b, F.expr(f"a.token = b.token AND a.s1 < b.s1 AND {bounds}")).groupBy(F.col("a.s1").alias("a"), F.col("b.s1").alias("b"))
     counted = met.agg(F.count(F.lit(1)).alias("times"), F.min(F.least("a.n", "b.n")).alias("n"))
-    return counted.where(f"times >= least({MEETINGS}, ({percent} * n + 99) div 100)").select("a", "b")
+    held = index.where("frequent").groupBy("s1").agg(F.count(F.lit(1)).alias("k"))
+    both = counted
+    for end in ("a", "b"):
+        both = both.join(held.select(F.col("s1").alias(end), F.col("k").alias(f"k{end}")), end, "left")
+    return both.where(f"times + least(coalesce(ka, 0), coalesce(kb, 0)) >= {least_meetings('n', percent)}").select("a", "b")
 
 
 def placed_sets(classes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -365,9 +447,10 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     read = stored(read_sets(short_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *rest, "text")), words), "sets")
     rows = read.where("_task IS NULL")
     ids = rows.select("doc_id", F.col("_n").alias("n"), F.col("_s1").alias("s1"), F.col("_s2").alias("s2")).where("doc_id IS NOT NULL")
-    sketch = summed_slices(read.where("_task IS NOT NULL").select(*(F.col(f"_{c}").alias(c) for c in ("task", "slice", "counts"))))
+    shingled = rows.agg(F.sum("_n")).first()[0] or 0
+    sketch = summed_slices(read.where("_task IS NOT NULL").select(*(F.col(f"_{c}").alias(c) for c in ("task", "slice", "counts"))), shingled)
     index = stored(index_lists(index_entries(texts, sketch, words, percent)), "index")
-    edges = stored(short_list_pairs(index, percent).union(long_lists(index)), "near")
+    edges = stored(short_list_pairs(index, percent).union(long_lists(index, percent)), "near")
     discard(index)
     classes = stored(ids.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("n").alias("n")), "classes")
     wanted = stored(placed_sets(classes, edges), "wanted")
