@@ -148,6 +148,38 @@ def test_debiased_quantile_is_a_bootstrap_of_three(spark):
     assert np.isclose(even.estimate, middle(y[known]) + middle(f[~known]) - middle(f[known]))
 
 
+@pytest.mark.parametrize(("weighted", "whole"), [(False, False), (True, False), (False, True), (True, True)])
+def test_predict_then_debias_quantile_by_row_weights(spark, monkeypatch, weighted, whole):
+    """The same draws as by repeating each row in one place; also with few rows looked at first, with ties and past most_rows."""
+    rng, n, q, b = np.random.default_rng(21), 900, 0.3, 40
+    y = rng.exponential(size=n)
+    y = np.round(y, 1) if whole else y
+    f, known, w = np.round(y + 0.3 * rng.normal(size=n), 1 if whole else 9), np.arange(n) < 250, rng.integers(1, 4, n).astype(float)
+    monkeypatch.setattr(ptd, "NEAR", 0.5)
+    rows = [(i, float(y[i]) if known[i] else None, float(f[i]), float(w[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, y double, f double, w double").repartition(5)
+    got = ptd.ptd_quantile(df, q, "y", "f", w="w" if weighted else None, n_resamples=b, key="id", seed=3, tuning=None, most_rows=100).first()
+    times = resample.weights(np.arange(n), 3, np.r_[resample.WHOLE, 1 + np.arange(b)]).astype(int)
+
+    def at(v, on, r):
+        v, u = np.repeat(v[on], times[on, r]), np.repeat(w[on], times[on, r])
+        if not weighted:
+            return np.quantile(v, q)
+        order = np.lexsort((u, v))
+        share = np.cumsum(u[order])
+        return np.interp(q, (share - u[order] / 2) / share[-1], v[order])
+
+    draws = np.array([at(y, known, r) + at(f, ~known, r) - at(f, known, r) for r in range(b + 1)])
+    assert np.allclose([got.estimate, got.lower, got.upper], [draws[0], *np.quantile(draws[1:], [0.025, 0.975])], rtol=1e-12)
+
+
+def test_predict_then_debias_quantile_of_one_prediction(spark):
+    """Predictions whose quantile is the same in all replicates have no weight, instead of an undefined one."""
+    df = spark.createDataFrame([(i, float(i) if i < 40 else None, 2.0) for i in range(200)], "id long, y double, f double")
+    got = ptd.ptd_quantile(df, 0.5, "y", "f", n_resamples=30, key="id").first()
+    assert got.tuning == 0 and got.estimate == 19.5 and got.lower < 19.5 < got.upper
+
+
 def test_label_shift_bounds_by_sums(spark):
     rng = np.random.default_rng(13)
     y = rng.integers(0, 2, 500)

@@ -498,7 +498,7 @@ def ptd_linear_sql(n: int, alpha: float = 0.05) -> str:
 
 query(lambda s, d: ptd.ptd_linear(docs(s, d).withColumn("imputed", F.floor("lx")), ["one", "lx"], ["one", "imputed"], "quality", "yhat", n_resamples=200, key="doc_id"), name="ptd_linear", sql=ptd_linear_sql(200))
 query(lambda s, d: ptd.ptd_logistic(docs(s, d), ["one", "lx"], ["one", "lx"], "quality", "yhat", n_resamples=100, tuning="optimal", key="doc_id"), name="ptd_logistic")
-query(lambda s, d: ptd.ptd_quantile(orders(s, d), 0.5, "price", "yhat_price", n_resamples=200), name="ptd_quantile")
+query(lambda s, d: ptd.ptd_quantile(orders(s, d), 0.5, "price", "yhat_price", n_resamples=200, key="o"), name="ptd_quantile")
 SEMISUPERVISED = f"""WITH {ORDERS}, l AS (SELECT x, price AS y, row_number() OVER (ORDER BY o) - 1 AS r, count(*) OVER () AS n FROM d WHERE price IS NOT NULL), u AS (
   SELECT x, x - avg(x) OVER () AS c, row_number() OVER (ORDER BY o) - 1 AS r FROM d WHERE price IS NULL
 ), f AS (SELECT *, r // (n // 5) AS fold FROM l), b AS (
