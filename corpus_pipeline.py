@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from truegauge.llm.common import SPACE, stored
+from truegauge.llm.common import SPACE, stored, without_ids
 from truegauge.llm.line_dedup import dedup_lines
 from truegauge.llm.mixing import mixed
 from truegauge.llm.ngram_join import ngram_join
@@ -38,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the document with the smallest doc_id stays; rows of one doc_id are one document, a null doc_id stays."""
     docs = docs.select(*COLUMNS)
     classes = ngram_join(docs.select("doc_id", "text"), NEAR_WORDS, NEAR_PERCENT)
-    copies = classes.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    copies = stored(classes.where("component_id < doc_id").select("doc_id").distinct(), "copies")
+    return without_ids(docs, copies)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

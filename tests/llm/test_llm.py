@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from truegauge.llm import chat, embedding_dedup, kneser_ney, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding
+from truegauge.llm import chat, common, embedding_dedup, kneser_ney, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding
 from truegauge.llm import components as components_module
 from truegauge.llm.components import components
 from truegauge.llm.queries import ORACLE_SQL, QUERIES
@@ -668,3 +669,32 @@ def test_the_library_does_not_need_this_package():
             assert "llm" not in p.read_text()
 
 
+
+
+def test_copies_leave_without_a_shuffle_of_texts(spark, tmp_path):
+    rng = np.random.default_rng(19)
+    rows = [(i if i % 50 else None, rng.bytes(2000).hex()) for i in range(1500)]
+    rows += [(i, "again") for i in range(1, 40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    gone = {*range(3, 1500, 97), 10**12}
+    ids = common.stored(spark.createDataFrame([(i,) for i in [*gone, 3, None]], "doc_id long"), "ids")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    common.without_ids(docs, ids).write.parquet(str(tmp_path / "out"))
+    assert shuffled() - before < 500_000
+    out = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text").collect()]
+    assert Counter(out) == Counter(r for r in rows if r[0] not in gone)
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    before = files()
+    out = common.stored(spark.range(10_000).selectExpr("id % 100 AS k").groupBy("k").count(), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 100

@@ -102,3 +102,18 @@ def id_bits(ids: DataFrame) -> np.ndarray:
 
 def has_bit(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose doc_id isn't in the stored table ids (doc_id); a null doc_id stays.
+
+    A filter of ID_BITS bits goes to all tasks, at most 2^19 rows of 64 bits; only rows that it can't tell from ids are
+    shuffled for the exact join.
+    """
+    page, bit = F.expr("slot div 64"), F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    some = ids.where("doc_id IS NOT NULL").select(id_slot().alias("slot"))
+    pages = stored(some.groupBy(page.alias("_page")).agg(F.bit_or(bit).alias("_bits")), "pages")
+    slots = rows.withColumn("_slot", id_slot()).withColumn("_page", F.expr("_slot div 64"))
+    met = slots.join(F.broadcast(pages), "_page", "left").withColumn("_met", F.expr("coalesce(_bits & shiftleft(1L, cast(_slot % 64 as int)), 0L) <> 0"))
+    apart = met.where("NOT _met").select(*rows.columns)
+    return apart.union(met.where("_met").select(*rows.columns).join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*rows.columns))

@@ -445,10 +445,11 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rest = free_of(docs, "doc_id", "text", "n_shingles", "component_id", *INNER)
     texts = short_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     read = stored(read_sets(short_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *rest, "text")), words), "sets")
-    rows = read.where("_task IS NULL")
+    rows = stored(read.where("_task IS NULL").drop("_task", "_slice", "_counts"), "rows")
     ids = rows.select("doc_id", F.col("_n").alias("n"), F.col("_s1").alias("s1"), F.col("_s2").alias("s2")).where("doc_id IS NOT NULL")
     shingled = rows.agg(F.sum("_n")).first()[0] or 0
     sketch = summed_slices(read.where("_task IS NOT NULL").select(*(F.col(f"_{c}").alias(c) for c in ("task", "slice", "counts"))), shingled)
+    discard(read)
     index = stored(index_lists(index_entries(texts, sketch, words, percent)), "index")
     edges = stored(short_list_pairs(index, percent).union(long_lists(index, percent)), "near")
     discard(index)
